@@ -2,5 +2,544 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .events import by_day
+from .functions.documents import merge_json
+from .functions.geo import haversine
+from .functions.text import chunks, length_gate, tokens
+from .language import constraints
+from .operators import facets as facet_ops
+from .operators.ranking import PinRule, multiplied, promotions
+from .operators.stats import field_stats, filterable_fields
+from .operators.text_score import text_scores
+from .operators.vector_score import fused, nearest
+from .plans.params import Request
+from .plans.search import Context, plan
+from .plans.where import compile_where
+from .sources.index import Index, from_table
+from .sources.store import latest, sample
+from .streaming.oplog import State, consume
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str, name: str = "docs") -> Index:
+    return from_table(name, read(spark, sf_dir, "documents"), "doc_id", texts=["text"])
+
+
+def orders(spark: SparkSession, sf_dir: str) -> Index:
+    df = read(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    return from_table("orders", df, "o_orderkey", texts=[])
+
+
+def rounded(scores: DataFrame, key: str = "doc_id") -> DataFrame:
+    return scores.select(F.col("ord").alias(key), F.round("score", 4).alias("score"))
+
+
+TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+
+def bm25_sql(words: list[str], table: str = "documents", key: str = "doc_id", fields: dict[str, float] | None = None, match: str = "exact", where: str = "true", need: int = 1, partition: str | None = None, boost: float = 1.0) -> str:
+    """BM25F in SQL over ``fields`` (column to boost); match: exact, prefix or fuzzy N;
+    ``partition``: a column whose values are indexes of their own."""
+    fields = fields or {"text": 1.0}
+    part = f"{partition} as part" if partition else "0 as part"
+    toks = " union all ".join(f"select {key} as id, {part}, '{f}' as field, {b}::double as boost, ({where}) as ok, unnest({TOKENS.format(f)}) as term from {table}" for f, b in fields.items())
+    test = {"exact": "p.term = q.word", "prefix": "starts_with(p.term, q.word)"}.get(match) or f"levenshtein(p.term, q.word) <= {match.split()[1]}"
+    q = ", ".join(f"({i}, '{w}')" for i, w in enumerate(words))
+    n = f"select {part}, count(*)::double as n from {table} group by 1" if partition else f"select 0 as part, count(*)::double as n from {table}"
+    return f"""
+with tok as ({toks}),
+post as (select part, id, field, boost, ok, term, count(*)::double as tf from tok group by all),
+len as (select part, id, field, sum(tf) as len from post group by all),
+av as (select part, field, avg(len) as av from len group by all),
+total as ({n}),
+q(i, word) as (values {q}),
+s as (
+  select p.part, p.id, q.i, sum(p.tf / (0.25 + 0.75 * l.len / av.av) * p.boost * case when p.term = q.word then {boost} else 1.0 end) as s
+  from post p join q on {test} join len l on l.part = p.part and l.id = p.id and l.field = p.field join av on av.part = p.part and av.field = p.field
+  where p.ok group by all),
+df as (select part, i, count(*)::double as df from s group by all),
+r as (
+  select s.part, s.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * s / (1.2 + s)) as score, count(*) as matched
+  from s join df using (part, i) join total using (part) group by all)
+select part, id, score from r where matched >= {need}"""
+
+
+def _out(sql: str, key: str = "doc_id", tail: str = "") -> str:
+    return f"select id as {key}, round(score, 4) as score from ({sql}) r {tail}"
+
+
+TOP10 = "order by round(r.score, 6) desc, id limit 10"
+
+
+def _text(term: str, top: bool = True, **request) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = documents(spark, sf_dir)
+        if top:
+            return rounded(plan({"docs": index}, Request.of({"term": term, **request})).hits)
+        r = Request.of({"term": term, **request})
+        allowed = index.docs.where(compile_where(index, r.where)).select("ord") if r.where else None
+        return rounded(text_scores(index, r, allowed))
+
+    return run
+
+
+def _add(name: str, run: Query, sql: str | None) -> None:
+    run.__name__ = name
+    query(sql)(run)
+
+
+_add("text_bm25_single", _text("the", exact=True), _out(bm25_sql(["the"]), tail=TOP10))
+_add("text_bm25_multi", _text("the idiot der", False, exact=True), _out(bm25_sql(["the", "idiot", "der"])))
+_add("text_threshold", _text("the and clown", False, exact=True, threshold=1.0), _out(bm25_sql(["the", "and", "clown"], need=3)))
+_add("text_threshold_partial", _text("the and clown", False, exact=True, threshold=0.7), _out(bm25_sql(["the", "and", "clown"], need=2)))
+_add("text_prefix", _text("worthl", False), _out(bm25_sql(["worthl"], match="prefix", boost=1.5)))
+_add("text_fuzzy", _text("idiot", False, tolerance=1), _out(bm25_sql(["idiot"], match="fuzzy 1", boost=1.5)))
+_add("text_stems", _text("idiots", False), _out(bm25_sql(["idiots", "idiot"], match="prefix", boost=1.5)))
+_add("text_filtered", _text("the moron", False, exact=True, where={"lang": "en"}), _out(bm25_sql(["the", "moron"], where="lang = 'en'")))
+_add("text_page", _text("the", exact=True, limit=20, offset=15), _out(bm25_sql(["the"]), tail="order by round(r.score, 6) desc, id limit 20 offset 15"))
+
+
+@query(f"select doc_id, 1.0::double as score from documents where len({TOKENS.format('text')}) > 0")
+def text_match_all(spark, sf_dir):
+    return rounded(text_scores(documents(spark, sf_dir), Request("")))
+
+
+@query(_out(bm25_sql(["sm", "ring"], table="part", key="p_partkey", fields={"p_name": 3.0, "p_type": 1.0}, match="prefix", boost=1.5), "p_partkey"))
+def text_field_boost(spark, sf_dir):
+    index = from_table("part", read(spark, sf_dir, "part"), "p_partkey", texts=["p_name", "p_type"])
+    return rounded(text_scores(index, Request.of({"term": "sm ring", "boost": {"p_name": 3.0}})), "p_partkey")
+
+
+def _by_language(spark, sf_dir) -> dict[str, Index]:
+    df = read(spark, sf_dir, "documents")
+    return {lang: from_table(lang, df.where(F.col("lang") == lang), "doc_id", texts=["text"]) for lang in ("de", "en", "es", "fr")}
+
+
+@query(f"select part as index_id, id as doc_id, round(score, 4) as score from ({bm25_sql(['de', 'in'], partition='lang')}) r order by round(r.score, 6) desc, id, part limit 50")
+def text_multi_index(spark, sf_dir):
+    hits = plan(_by_language(spark, sf_dir), Request.of({"term": "de in", "exact": True, "limit": 50})).hits
+    return hits.select("index_id", F.col("ord").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
+@query(f"select r.id as doc_id, round(score * coalesce(m, 1), 4) as score from ({bm25_sql(['the'])}) r left join (select doc_id, max(quality + 1.5)::double as m from labels group by 1) l on l.doc_id = r.id")
+def text_multiplier(spark, sf_dir):
+    index = documents(spark, sf_dir)
+    m = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") + 1.5).cast("double").alias("m"))
+    scores = text_scores(index, Request("the", exact=True))
+    return rounded(multiplied(scores, m.withColumnRenamed("doc_id", "ord"), F.col("m")))
+
+
+@query(f"with t as (select doc_id, unnest({TOKENS.format('text')}) as term from documents) select term, count(distinct doc_id)::bigint as df, count(*)::bigint as n from t group by 1")
+def vocab_stats(spark, sf_dir):
+    return documents(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+
+
+@query(f"with t as (select doc_id, len({TOKENS.format('text')}) as n from documents) select count(*)::bigint as n_docs, sum(n)::bigint as n_tokens, round(avg(n), 4) as average from t where n > 0")
+def corpus_stats(spark, sf_dir):
+    return documents(spark, sf_dir).lengths.agg(F.count("*").alias("n_docs"), F.sum("len").cast("long").alias("n_tokens"), F.round(F.avg("len"), 4).alias("average"))
+
+
+_STATS = """
+select field, kind, n, coalesce(keys, 0)::bigint as keys, low, high from (
+ select 'o_orderkey' as field, 'number' as kind, count(o_orderkey)::bigint as n, null::bigint as keys, min(o_orderkey)::double as low, max(o_orderkey)::double as high from orders
+ union all select 'o_custkey', 'number', count(o_custkey)::bigint, null, min(o_custkey)::double, max(o_custkey)::double from orders
+ union all select 'o_totalprice', 'number', count(o_totalprice)::bigint, null, min(o_totalprice), max(o_totalprice) from orders
+ union all select 'o_orderdate', 'date', count(o_orderdate)::bigint, null, null, null from orders
+ union all select 'o_orderstatus', 'string', count(o_orderstatus) filter (octet_length(encode(o_orderstatus)) between 1 and 25)::bigint, count(distinct o_orderstatus) filter (octet_length(encode(o_orderstatus)) between 1 and 25)::bigint, null, null from orders
+ union all select 'o_orderpriority', 'string', count(o_orderpriority) filter (octet_length(encode(o_orderpriority)) between 1 and 25)::bigint, count(distinct o_orderpriority) filter (octet_length(encode(o_orderpriority)) between 1 and 25)::bigint, null, null from orders)"""
+
+
+@query(_STATS)
+def filterable_field_stats(spark, sf_dir):
+    return filterable_fields(orders(spark, sf_dir)).select("field", "kind", "n", F.coalesce("keys", F.lit(0)).alias("keys"), "low", "high")
+
+
+@query(f"with t as (select doc_id, unnest({TOKENS.format('text')}) as term from documents), l as (select doc_id, count(*) as n from t group by 1) select 'text' as field, (select count(*) from l)::bigint as n, (select count(distinct term) from t)::bigint as keys, (select round(avg(n), 4) from l) as average_length")
+def text_field_stats(spark, sf_dir):
+    return field_stats(documents(spark, sf_dir)).where("kind = 'text'").select("field", "n", "keys", F.round("average_length", 4).alias("average_length"))
+
+
+# filters
+
+
+def _where(table: str, key: str, where: dict, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> Query:
+    def run(spark, sf_dir):
+        index = from_table(table, prepare(read(spark, sf_dir, table)), key, texts=[])
+        return index.docs.where(compile_where(index, where)).select(key)
+
+    return run
+
+
+def _dates(df: DataFrame) -> DataFrame:
+    return df.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+
+
+def _ids(table: str, key: str, test: str) -> str:
+    return f"select {key} from {table} where {test}"
+
+
+_LINE = ("lineitem", "id")
+
+
+def _lines(spark, sf_dir) -> Index:
+    df = read(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return from_table("lineitem", df.withColumnRenamed("id", "line"), "line", texts=[])
+
+
+for _op, _arg, _sql in (("eq", 10, "= 10"), ("gt", 45.5, "> 45.5"), ("gte", 49, ">= 49"), ("lt", 2, "< 2"), ("lte", 1.5, "<= 1.5"), ("between", [10, 12], "between 10 and 12")):
+
+    def _run(spark, sf_dir, op=_op, arg=_arg):
+        index = _lines(spark, sf_dir)
+        return index.docs.where(compile_where(index, {"l_quantity": {op: arg}})).select("line")
+
+    _add(f"where_number_{_op}", _run, f"select l_orderkey * 10 + l_linenumber as line from lineitem where l_quantity {_sql}")
+
+_add("where_date_between", _where("orders", "o_orderkey", {"o_orderdate": {"between": ["1995-01-01", "1995-06-30T12:00:00Z"]}}, _dates), _ids("orders", "o_orderkey", "o_orderdate between timestamp '1995-01-01' and timestamp '1995-06-30 12:00:00'"))
+_add("where_date_gt", _where("orders", "o_orderkey", {"o_orderdate": {"gt": "1997-12-31"}}, _dates), _ids("orders", "o_orderkey", "o_orderdate > timestamp '1997-12-31'"))
+_add("where_enum", _where("customer", "c_custkey", {"c_mktsegment": "BUILDING"}), _ids("customer", "c_custkey", "c_mktsegment = 'BUILDING' and octet_length(encode(c_mktsegment)) between 1 and 25"))
+_add("where_and_or_not", _where("orders", "o_orderkey", {"o_totalprice": {"gte": 1000}, "and": [{"o_orderstatus": "F"}, {"o_custkey": {"lt": 1000}}], "or": [{"o_orderpriority": "1-URGENT"}, {"o_totalprice": {"gt": 200000}}], "not": {"o_custkey": {"between": [10, 20]}}}, _dates), _ids("orders", "o_orderkey", "o_totalprice >= 1000 and o_orderstatus = 'F' and o_custkey < 1000 and (o_orderpriority = '1-URGENT' or o_totalprice > 200000) and not coalesce(o_custkey between 10 and 20, false)"))
+_add("where_or_empty", _where("orders", "o_orderkey", {"or": []}, _dates), _ids("orders", "o_orderkey", "false"))
+_add("where_unknown_field", _where("orders", "o_orderkey", {"nothing": 1 == 1, "o_orderstatus": "F"}, _dates), _ids("orders", "o_orderkey", "false"))
+_add("where_mismatch", _where("orders", "o_orderkey", {"o_totalprice": "F"}, _dates), _ids("orders", "o_orderkey", "false"))
+_add("where_not_mismatch", _where("orders", "o_orderkey", {"not": {"o_totalprice": "F"}}, _dates), _ids("orders", "o_orderkey", "true"))
+
+
+def _labelled(spark, sf_dir) -> Index:
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    df = read(spark, sf_dir, "documents").join(labels, "doc_id", "left").withColumn("toxic", F.col("toxic") == 1)
+    return from_table("labelled", df, "doc_id", texts=[])
+
+
+_LABELLED = "(select d.*, l.toxic = 1 as toxic from documents d left join (select doc_id, max(toxic) as toxic from labels group by 1) l using (doc_id))"
+
+
+@query(f"select doc_id from {_LABELLED} where toxic")
+def where_bool(spark, sf_dir):
+    index = _labelled(spark, sf_dir)
+    return index.docs.where(compile_where(index, {"toxic": True})).select("doc_id")
+
+
+@query(f"select doc_id from {_LABELLED} where not coalesce(toxic, false)")
+def where_not_lacking(spark, sf_dir):
+    index = _labelled(spark, sf_dir)
+    return index.docs.where(compile_where(index, {"not": {"toxic": True}})).select("doc_id")
+
+
+@query("select p_partkey, p_type from part where octet_length(encode(p_type)) between 1 and 20")
+def where_length_gate(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", length_gate(F.col("p_type"), 1, 20).alias("p_type")).where("p_type is not null")
+
+
+@query(f"select doc_id from documents where list_contains({TOKENS.format('text')}, 'clown')")
+def where_array_any(spark, sf_dir):
+    df = read(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("words"))
+    index = from_table("arrays", df, "doc_id")
+    return index.docs.where(compile_where(index, {"words": "clown"})).select("doc_id")
+
+
+_LAT, _LON = "((c_custkey * 37) % 180 - 90)::double", "((c_custkey * 91) % 360 - 180)::double"
+_HAV = f"2 * 6371008.8 * asin(sqrt(least(pow(sin(radians({_LAT} - 9.14) / 2), 2) + cos(radians(9.14)) * cos(radians({_LAT})) * pow(sin(radians({_LON} - 45.23) / 2), 2), 1.0)))"
+
+
+def _places(spark, sf_dir) -> Index:
+    point = F.struct(((F.col("c_custkey") * 37) % 180 - 90).cast("double").alias("lat"), ((F.col("c_custkey") * 91) % 360 - 180).cast("double").alias("lon"))
+    return from_table("places", read(spark, sf_dir, "customer").select("c_custkey", point.alias("place")), "c_custkey", texts=[])
+
+
+def _geo(value: dict) -> Query:
+    def run(spark, sf_dir):
+        index = _places(spark, sf_dir)
+        return index.docs.where(compile_where(index, {"place": value})).select("c_custkey")
+
+    return run
+
+
+_AT = {"coordinates": {"lat": 9.14, "lon": 45.23}, "value": 3000, "unit": "km"}
+_POLYGON = [(-40.5, -100.5), (50.5, -80.5), (60.5, 70.5), (-20.5, 90.5)]
+
+
+def _crossings() -> str:
+    out = []
+    for (a, b), (c, d) in zip(_POLYGON, _POLYGON[1:] + _POLYGON[:1]):
+        out.append(f"case when (({a} > {_LAT}) <> ({c} > {_LAT})) and {_LON} < ({_LAT} - ({a})) * ({(d - b) / (c - a)!r}::double) + ({b}) then 1 else 0 end")
+    return "(" + " + ".join(out) + ") % 2 = 1"
+
+
+_add("where_geo_radius", _geo({"radius": _AT}), _ids("customer", "c_custkey", f"{_HAV} <= 3000000"))
+_add("where_geo_outside", _geo({"radius": {**_AT, "inside": False}}), _ids("customer", "c_custkey", f"{_HAV} > 3000000"))
+_add("where_geo_polygon", _geo({"polygon": {"coordinates": [{"lat": a, "lon": b} for a, b in _POLYGON]}}), _ids("customer", "c_custkey", _crossings()))
+
+
+@query(f"select c_custkey, round({_HAV}, 3) as metres from customer")
+def geo_distance(spark, sf_dir):
+    return _places(spark, sf_dir).docs.select("c_custkey", F.round(haversine(F.col("place.lat"), F.col("place.lon"), 9.14, 45.23), 3).alias("metres"))
+
+
+# facets and groups
+
+
+def _all(index: Index) -> DataFrame:
+    return index.docs.select("ord", F.lit(1.0).alias("score"))
+
+
+_RANGES = [(0, 10), (10, 20), (5, 15), (20, 50), (60, 70)]
+
+
+@query(" union all ".join(f"select '{a}-{b}' as label, count(*)::bigint as n from lineitem where l_quantity between {a} and {b}" for a, b in _RANGES))
+def facet_number(spark, sf_dir):
+    index = _lines(spark, sf_dir)
+    return facet_ops.facet([(index, _all(index))], "l_quantity", {"ranges": [{"from": a, "to": b} for a, b in _RANGES]})
+
+
+@query(f"select 'true' as label, count(*) filter (toxic)::bigint as n from {_LABELLED} union all select 'false', count(*) filter (not toxic)::bigint from {_LABELLED}")
+def facet_bool(spark, sf_dir):
+    index = _labelled(spark, sf_dir)
+    return facet_ops.facet([(index, _all(index))], "toxic", {"true": True, "false": True})
+
+
+@query("with k as (select distinct o_orderpriority as label from orders), c as (select o_orderpriority as label, count(*) as n from orders where o_totalprice < 2000 group by 1) select label, coalesce(n, 0)::bigint as n from k left join c using (label)")
+def facet_string(spark, sf_dir):
+    index = orders(spark, sf_dir)
+    scored = index.docs.where("o_totalprice < 2000").select("ord", F.lit(1.0).alias("score"))
+    return facet_ops.facet([(index, scored)], "o_orderpriority", {})
+
+
+@query(f"with r as ({bm25_sql(['idiot'])}), k as (select distinct lang as label from documents) select label, count(r.id)::bigint as n from k left join (select lang, id from r join documents on doc_id = id) r on r.lang = k.label group by 1")
+def facet_ignores_where(spark, sf_dir):
+    p = plan({"docs": documents(spark, sf_dir)}, Request.of({"term": "idiot", "exact": True, "where": {"lang": "en", "source": "src1"}, "facets": {"lang": {}}}))
+    return p.facets["lang"]
+
+
+@query("select o_orderstatus as k0, count(*)::bigint as n from orders group by 1")
+def group_one(spark, sf_dir):
+    index = orders(spark, sf_dir)
+    g = facet_ops.groups([(index, _all(index))], ["o_orderstatus"])
+    return g.select(F.col("values")[0].alias("k0"), "n")
+
+
+@query("with a as (select distinct o_orderstatus as k0 from orders), b as (select distinct o_orderpriority as k1 from orders), c as (select o_orderstatus as k0, o_orderpriority as k1, count(*) as n from orders where o_totalprice > 250000 group by all) select k0, k1, coalesce(n, 0)::bigint as n from a cross join b left join c using (k0, k1)")
+def group_empty_combinations(spark, sf_dir):
+    index = orders(spark, sf_dir)
+    scored = index.docs.where("o_totalprice > 250000").select("ord", F.lit(1.0).alias("score"))
+    g = facet_ops.groups([(index, scored)], ["o_orderstatus", "o_orderpriority"])
+    return g.select(F.col("values")[0].alias("k0"), F.col("values")[1].alias("k1"), "n")
+
+
+@query(f"with r as ({bm25_sql(['the', 'clown'])}), d as (select source, id, score, row_number() over (partition by source order by round(score, 6) desc, id) as place from r join documents on doc_id = id) select source, place::bigint as place, id as doc_id from d where place <= 3")
+def group_top_score(spark, sf_dir):
+    p = plan({"docs": documents(spark, sf_dir)}, Request.of({"term": "the clown", "exact": True, "groupBy": {"properties": ["source"], "max_results": 3}}))
+    return p.groups.select(F.col("values")[0].alias("source"), F.posexplode("result").alias("place", "hit")).select("source", (F.col("place") + 1).cast("long").alias("place"), F.col("hit.ord").alias("doc_id"))
+
+
+@query("with d as (select o_orderpriority as k, o_orderkey, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as place from orders) select k, place::bigint as place, o_orderkey from d where place <= 5")
+def group_top_sorted(spark, sf_dir):
+    index = orders(spark, sf_dir)
+    g = facet_ops.groups([(index, _all(index))], ["o_orderpriority"], 5, ("o_totalprice", "DESC"))
+    return g.select(F.col("values")[0].alias("k"), F.posexplode("result").alias("place", "hit")).select("k", (F.col("place") + 1).cast("long").alias("place"), F.col("hit.ord").alias("o_orderkey"))
+
+
+# order
+
+
+def _sorted(field: str, order: str, limit: int = 25, offset: int = 0) -> Query:
+    def run(spark, sf_dir):
+        index = orders(spark, sf_dir)
+        index.texts = {"o_orderpriority": from_table("t", read(spark, sf_dir, "orders"), "o_orderkey").texts["o_orderpriority"]}
+        r = Request.of({"term": "", "sortBy": {"property": field, "order": order}, "limit": limit, "offset": offset})
+        return plan({"orders": index}, r).hits.select(F.col("ord").alias("o_orderkey"))
+
+    return run
+
+
+for _name, _args, _by in (("sort_number", ("o_totalprice", "ASC"), "o_totalprice, o_orderkey limit 25"), ("sort_number_desc", ("o_totalprice", "DESC"), "o_totalprice desc, o_orderkey limit 25"), ("sort_date", ("o_orderdate", "DESC"), "o_orderdate desc, o_orderkey limit 25"), ("page_offset", ("o_totalprice", "ASC", 10, 100), "o_totalprice, o_orderkey limit 10 offset 100")):
+    _add(_name, _sorted(*_args), f"select o_orderkey from orders order by {_by}")
+
+
+@query(f"select doc_id from {_LABELLED} where toxic is not null order by toxic, doc_id limit 60")
+def sort_bool_missing(spark, sf_dir):
+    index = _labelled(spark, sf_dir)
+    index.texts = documents(spark, sf_dir).texts
+    return plan({"labelled": index}, Request.of({"term": "", "sortBy": {"property": "toxic"}, "limit": 60})).hits.select(F.col("ord").alias("doc_id"))
+
+
+_RULE = PinRule("r", [{"pattern": "the", "anchoring": "is"}], {"5": 1, "7": 2, "3": 40})
+
+
+@query(f"with r as (select id, row_number() over (order by round(score, 6) desc, id) - 1 as p from ({bm25_sql(['the'])})), o as (select id, row_number() over (order by p) - 1 as p from r where id not in (5, 7, 3)), b as (select 5 as id, 1 as p union all select id, case when p < 1 then p else p + 2 end from o union all select 7, 2) select id as doc_id, p::bigint as place from b where p < 10")
+def pins(spark, sf_dir):
+    """Rank arithmetic in place of a driver list: pinned rows at their places, others around them."""
+    index = documents(spark, sf_dir)
+    pinned = promotions([_RULE], "the")
+    hits = plan({"docs": index}, Request.of({"term": "the", "exact": True, "limit": 20})).hits.where(~F.col("ord").isin([int(k) for k, _ in pinned])).orderBy(F.round("score", 6).desc(), "ord")
+    rows = hits.agg(F.sort_array(F.collect_list(F.struct(-F.round("score", 6), "ord"))).alias("h")).select(F.transform("h", lambda x: x["ord"]).alias("ids"))
+    ids = F.col("ids")
+    for k, place in pinned:
+        at = F.least(F.lit(place), F.size(ids))
+        ids = F.concat(F.slice(ids, F.lit(1), at), F.array(F.lit(int(k)).cast("long")), F.slice(ids, at + 1, F.size(ids)))
+    return rows.select(F.posexplode(F.slice(ids, 1, 10)).alias("place", "doc_id")).select("doc_id", F.col("place").cast("long").alias("place"))
+
+
+# vectors
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding", "label")
+
+
+def _query_vector(spark, sf_dir) -> list[float]:
+    return list(read(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"])
+
+
+_COS = "(select vec_id, label, list_cosine_similarity(embedding::double[], (select embedding from embeddings where vec_id = 0)::double[]) as s from embeddings)"
+
+
+@query(f"select vec_id, round(s, 4) as score from {_COS} order by s desc, vec_id limit 20")
+def vec_knn(spark, sf_dir):
+    return rounded(nearest(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 20, -1.0), "vec_id")
+
+
+@query(f"select vec_id, round(s, 4) as score from {_COS} where s >= 0.3")
+def vec_threshold(spark, sf_dir):
+    return rounded(nearest(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), None, 0.3), "vec_id")
+
+
+@query(f"select label::bigint as label, round(sum(s), 4) as score from {_COS} where s >= 0.1 group by 1")
+def vec_chunk_sum(spark, sf_dir):
+    chunks_ = read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("ord"), "embedding")
+    return rounded(nearest(chunks_, _query_vector(spark, sf_dir), None, 0.1), "label")
+
+
+@query(f"select vec_id, round((greatest(least(s, 1), 0.7) - 0.7) / 0.3, 4) as score from {_COS} where (greatest(least(s, 1), 0.7) - 0.7) / 0.3 >= 0")
+def vec_rescale(spark, sf_dir):
+    return rounded(nearest(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), None, 0.0, True), "vec_id")
+
+
+@query(f"select vec_id, round(s, 4) as score from {_COS} where label = (select label from embeddings where vec_id = 0) order by s desc, vec_id limit 10")
+def vec_filtered(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    allowed = v.join(F.broadcast(v.where("ord = 0").select("label")), "label").select("ord")
+    return rounded(nearest(v, _query_vector(spark, sf_dir), 10, -1.0, allowed=allowed), "vec_id")
+
+
+@query(f"with t as (select id, score from ({bm25_sql(['the', 'clown'])})), v as (select vec_id as id, s as score from {_COS} order by s desc, vec_id limit 100), b as (select * from t union all select * from v where score >= 0.1), e as (select least(min(score), 0) as low, greatest(max(score), 0) as high from b) select id as doc_id, round(sum((score - low) / (high - low)), 4) as score from b, e group by 1")
+def hybrid(spark, sf_dir):
+    text = text_scores(documents(spark, sf_dir), Request("the clown", exact=True))
+    return rounded(fused(text, nearest(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 100, 0.1)))
+
+
+# changes
+
+
+def _ops(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("value"))
+
+
+@query("select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+def upsert_latest(spark, sf_dir):
+    return latest(_ops(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
+
+
+@query("select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+def delete_documents(spark, sf_dir):
+    gone = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return read(spark, sf_dir, "orders").join(gone, "o_custkey", "left_anti").select("o_orderkey")
+
+
+@query("select doc_id, lang from documents where doc_id in (3, 5, 7, 11, 13)")
+def batch_get(spark, sf_dir):
+    ids = spark.createDataFrame([(i,) for i in dict.fromkeys([3, 5, 7, 11, 13, 3, -1])], "doc_id long")
+    return read(spark, sf_dir, "documents").join(F.broadcast(ids), "doc_id").select("doc_id", "lang")
+
+
+@query("select doc_id, case when quality = 0 then null else lang end as lang, n_chars + 1 as n_chars from documents join (select doc_id, max(quality) as quality from labels group by 1) using (doc_id)")
+def merge_patches(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("lang", F.struct("n_chars").alias("size"))).alias("body"), "n_chars")
+    patches = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    drop = F.when(F.col("q") == 0, F.array(F.lit('{"lang":null}'))).otherwise(F.array().cast("array<string>"))
+    deep = F.array(F.concat(F.lit('{"size.n_chars":'), (F.col("n_chars") + 1).cast("string"), F.lit("}")))
+    merged = docs.join(patches, "doc_id").select("doc_id", merge_json(F.col("body"), F.concat(drop, deep)).alias("body"))
+    return merged.select("doc_id", F.get_json_object("body", "$.lang").alias("lang"), F.get_json_object("body", "$.size.n_chars").cast("long").alias("n_chars"))
+
+
+@query("select p::bigint as pos, doc_id, source from documents join (values (0, 5), (1, 3), (2, 1), (3, 7)) s(p, id) on doc_id = id")
+def shelf_order(spark, sf_dir):
+    shelf = spark.createDataFrame([(0, 5), (1, 3), (2, 1), (3, 7)], "pos long, doc_id long")
+    return read(spark, sf_dir, "documents").join(F.broadcast(shelf), "doc_id").orderBy("pos").select("pos", "doc_id", "source")
+
+
+@query("select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+def oplog_stream(spark, sf_dir):
+    """The event table as a stream of operations, consumed into the latest state by user."""
+    from pathlib import Path
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
+    root = tempfile.mkdtemp(prefix="oplog-", dir=base.removeprefix("file://"))
+    source = f"{sf_dir}/events.parquet"
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source if Path(source).is_dir() else f"{sf_dir}/event[s].parquet")
+    state = State(spark, f"{root}/state", "user_id", "event_id")
+    consume(stream.select("event_id", "user_id", "event_type", "value"), state, f"{root}/checkpoint").awaitTermination()
+    return state.read().select("user_id", "event_id", "event_type", "value")
+
+
+_WORDS = TOKENS.format("text")
+
+
+@query(f"with t as (select doc_id, {_WORDS} as w from documents), s as (select doc_id, w, unnest(range(0, greatest(ceil((len(w) - 100) / 98.0), 0)::bigint + 1)) as i from t) select doc_id, i::bigint as chunk, array_to_string(w[i * 98 + 1 : i * 98 + 100], ' ') as text from s")
+def chunk_text(spark, sf_dir):
+    df = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks(F.col("text"), 100)).alias("chunk", "text"))
+    return df.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text")
+
+
+@query(None)
+def nlq_constraints(spark, sf_dir):
+    users = read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return constraints.numeric_table(users, "text").select("conv_id", "turn", F.to_json("constraints").alias("constraints"))
+
+
+@query("select strftime(ts, '%Y-%m-%d') as day, event_type as kind, count(*)::bigint as n, round(sum(value), 4) as total from events group by all")
+def analytics_daily(spark, sf_dir):
+    return by_day(read(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("day", F.col("day").cast("string"))
+
+
+@query("select user_id, count(*)::bigint as n, count(distinct event_type)::bigint as kinds from events group by 1")
+def analytics_by_user(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
+
+
+@query(None)
+def training_sample(spark, sf_dir):
+    return sample(read(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string")), 25).select("doc_id")
+
+
+@query("select doc_id, concat_ws(':', lang, doc_id) as id from documents")
+def public_ids(spark, sf_dir):
+    from .functions.documents import public_id
+
+    return read(spark, sf_dir, "documents").select("doc_id", public_id(F.col("lang"), F.col("doc_id").cast("string")).alias("id"))
+
+
+__all__ = ["ORACLES", "QUERIES", "Column", "Context"]
