@@ -118,10 +118,12 @@ class ArchiveReader(DataSourceReader):
             out += [Range(x.path, x.size, x.size * i // parts, x.size * (i + 1) // parts) for i in range(parts)]
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
         """The members that start in the range, by offset. A member that fails is read anew,
         from its own offset, ``retries`` times; then its payload is null and its error says
         why, and the others are unaffected."""
+        if partition is None:  # a folder without archives
+            return
         fs, _ = filesystem(self.path)
         name = partition.path.rsplit("/", 1)[-1]
         rows, held = [], 0

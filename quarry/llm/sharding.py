@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, shared_path, ship, text_of
+from .common import shared_path, ship, text_of, tidy
 
 #: Bytes of a batch that goes back to Spark.
 BATCH_BYTES = 8 << 20
@@ -60,11 +60,13 @@ def shuffled(docs: DataFrame, bucket_bytes: int = 64 << 20, seed: int = 11, id_c
     docs = docs.drop("shard", "position")
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)) + 64)).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    (key,) = fresh(docs, "key")
-    keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), *[col(c) for c in docs.columns]))
-    keyed = keyed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(buckets)).cast("int"))
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", shard int, position long"
-    return keyed.repartitionById(buckets, F.col("shard")).mapInArrow(shuffle_buckets("shard", key, "position", seed), schema)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots can't go to a worker
+    keyed = plain.withColumn("key", F.xxhash64(F.lit(seed), *plain.columns))
+    keyed = keyed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), F.lit(buckets)).cast("int"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields) + ", shard int, position long"
+    out = keyed.repartitionById(buckets, F.col("shard")).mapInArrow(tidy(shuffle_buckets("shard", "key", "position", seed)), schema)
+    return out.toDF(*names, "shard", "position")
 
 
 def write_shards(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
