@@ -9,7 +9,9 @@ from email.utils import parsedate_to_datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][X]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "EEE, dd MMM yyyy HH:mm:ss Z")
+FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][X]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy")
+#: The form of mail headers, after the day of the week.
+MAIL = "d MMM yyyy HH:mm:ss Z"
 _LOOKS = re.compile(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$|^\d{4}/\d{2}/\d{2}$|^\d{2}/\d{2}/\d{4}$|^\w{3}, \d{1,2} \w{3} \d{4} ")
 
 
@@ -32,5 +34,6 @@ def millis(value: Column) -> Column:
 
 
 def lenient(text: Column) -> Column:
-    """The timestamp that a text says in one of FORMATS, else null."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS])
+    """The timestamp that a text says in one of FORMATS or as in mail, else null."""
+    mail = F.try_to_timestamp(F.regexp_extract(text, "^[A-Za-z]{3}, (.*)$", 1), F.lit(MAIL))
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS], mail)
