@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ship
+from .common import col, ship, tidy
 
 #: What ends a line, besides the source's own line ends.
 BREAKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li link main meta nav ol p pre section table tbody td tfoot th thead title tr ul".split())
@@ -103,7 +103,7 @@ def two_means(values: np.ndarray) -> float:
     return cut
 
 
-def extract_text(html: str, radius: int = 2, sigma: float = 1.0, share: float = 0.5) -> tuple[str, int, int]:
+def extract_text(html: str, radius: int = 2, sigma: float = 1.0, share: float = 1.0) -> tuple[str, int, int]:
     """(text, lines, lines kept). A line's ratio is its characters by its tags, or by 1 where
     it has none. Smoothed logarithms of the ratios are clustered in two; a line is content
     if it has text and its smoothed value is over ``share`` of the way from the lowest
@@ -132,4 +132,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """``page_id, text, lines, kept`` for each row. Null and empty pages give an empty text of
     0 lines; null ids and repeated rows are rows like any other."""
     ship(pages.sparkSession)
-    return pages.select(col(id_col).cast("long").alias("page_id"), F.coalesce(col(html_col), F.lit("")).alias("html")).mapInArrow(_run, SCHEMA)
+    return pages.select(col(id_col).cast("long").alias("page_id"), F.coalesce(col(html_col), F.lit("")).alias("html")).mapInArrow(tidy(_run), SCHEMA)
