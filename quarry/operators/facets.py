@@ -68,6 +68,24 @@ def facet(indexes: list[tuple[Index, DataFrame]], path: str, definition: dict) -
     return reduce(DataFrame.unionByName, out).groupBy("label").agg(F.sum("n").alias("n"))
 
 
+def _key_text(f: Field, k: str) -> Column:
+    """A group's value as text; whole numbers without a fraction."""
+    v = F.col(k)
+    return F.when(v == F.floor(v), v.cast("decimal(38,0)").cast("string")).otherwise(v.cast("string")) if f.kind == "number" else v.cast("string")
+
+
+def group_keys(index: Index, properties: list[str], ids: list[str]) -> DataFrame:
+    """``id, ord, values`` of a few documents: the groups each is in."""
+    fields = [index.filters.get(p) for p in properties]
+    if None in fields:
+        return index.docs.select("id", "ord", F.array().cast("array<string>").alias("values")).limit(0)
+    docs = index.docs.where(F.col("id").isin(ids)).select("id", "ord", *[(f.column if f.array or f.kind != "number" else f.column.cast("double")).alias(f"k{i}") for i, f in enumerate(fields)])
+    for i, f in enumerate(fields):
+        if f.array:
+            docs = docs.withColumn(f"k{i}", F.explode(F.array_distinct(f"k{i}")))
+    return docs.select("id", "ord", F.array(*[_key_text(f, f"k{i}") for i, f in enumerate(fields)]).alias("values"))
+
+
 def groups(parts: list[tuple[Index, DataFrame]], properties: list[str], most: int = 1, sort: tuple[str, str] | None = None, limit: int = 10_000) -> DataFrame:
     """``values, n, result``: every combination of the properties' known values, the empty
     ones too, the number of scored documents in it and its ``most`` best as
@@ -84,7 +102,7 @@ def groups(parts: list[tuple[Index, DataFrame]], properties: list[str], most: in
         for f in fields:
             if f.kind not in ("bool", "number", "string"):
                 raise InvalidGroupField(f"can't group by the {f.kind} field {f.path}")
-        text = [(lambda v: F.when(v == F.floor(v), v.cast("decimal(38,0)").cast("string")).otherwise(v.cast("string")))(F.col(k)) if f.kind == "number" else F.col(k).cast("string") for k, f in zip(keys, fields)]
+        text = [_key_text(f, k) for k, f in zip(keys, fields)]
         extra: list[Column] = []
         if sort and sort[0] in index.filters:
             extra = [index.filters[sort[0]].column.cast("double").alias("sort_key")]

@@ -158,7 +158,7 @@ def search(indexes: dict[str, Index], json_request: dict, context: Context | Non
     size = request.limit + request.offset
     asked = request
     if pins:
-        request = Request(**{**request.__dict__, "limit": 2 * size, "offset": 0})
+        request = Request(**{**request.__dict__, "limit": 2 * size, "offset": 0, "group_max": 2 * request.group_max})
     p = plan(indexes, request, context)
     count = p.count()
     if not count and request.where:
@@ -183,7 +183,15 @@ def search(indexes: dict[str, Index], json_request: dict, context: Context | Non
         values = {r["label"]: r["n"] for r in df.collect()}  # a row a value
         out["facets"][name] = {"count": len(values), "values": values}
     if p.groups is not None:
-        out["groups"] = [{"values": list(r["values"]), "result": [{"id": f"{x['index_id']}:{x['id']}", "index_id": x["index_id"], "score": x["score"]} for x in r["result"]]} for r in p.groups.orderBy("values").collect()]
+        inside: dict[tuple, list] = {}
+        for h, position in extra if pins else []:
+            inside.setdefault((h["index_id"], h["id"].split(":", 1)[1]), []).append((h, position))
+        members = [(tuple(r["values"]), h, position) for i in p.indexes if pins for r in facet_ops.group_keys(i, request.group_by, list(dict(pins))).collect() for h, position in inside.get((i.name, r["id"]), [])]
+        out["groups"] = []
+        for r in p.groups.orderBy("values").collect():  # a row a group
+            found = [{"id": f"{x['index_id']}:{x['id']}", "index_id": x["index_id"], "score": x["score"]} for x in r["result"]]
+            own = [({k: h[k] for k in ("id", "index_id", "score")}, position) for v, h, position in members if v == tuple(r["values"])]
+            out["groups"].append({"values": list(r["values"]), "result": place_pins(found, own, lambda h: h["id"])[: asked.group_max]})
     if context.log:
         context.log({"term": request.term, "mode": request.mode, "count": count, "has_filters": bool(request.where), "has_groups": bool(request.group_by), "has_sort": bool(request.sort_by), "user_id": request.user_id})
     return out

@@ -84,3 +84,16 @@ def test_stems_agree(spark):
     rows = spark.createDataFrame([(w,) for w in words], "w string").select(stem_expr(F.col("w")).alias("s")).collect()
     assert [r["s"] for r in rows] == [stem(w) for w in words]
     assert stem("foxes") == "fox" and stem("running") == "run"
+
+
+def test_embedding_batches(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions.embedding import embed, for_query, passage
+
+    df = spark.createDataFrame([("a", "one two three four", "x"), ("b", "", "y"), ("c", None, "z")], "id string, t string, u string")
+    got = embed(df, "id", F.col("t"), lambda: lambda texts: [[float(len(x))] for x in texts], "e5", 2).orderBy("chunk").collect()
+    assert [(r["id"], r["chunk"], r["embedding"]) for r in got] == [("a", 0, [16.0]), ("a", 1, [19.0])]
+    assert for_query("e5", "q") == "query: q"
+    assert [r[0] for r in df.select(passage(df, None)).collect()] == ["one two three four x", " y", "z"]
+    assert [r[0] for r in df.select(passage(df, ["u", "t"])).collect()] == ["x. one two three four", "y. ", "z"]

@@ -121,6 +121,9 @@ def test_pins(spark):
     context = Context(pins=[rule])
     assert ids(run(index, {"term": "c"}, context)) == ["0", "5", "7", "1", "2", "3", "4", "6", "8", "9"]
     assert ids(run(index, {"term": "c", "limit": 3, "offset": 2}, context)) == ["7", "1", "2"]
+    grouped = index_of(spark, [{"id": str(i), "c": f"c-{i}", "odd": i % 2 == 1} for i in range(8)])
+    g = run(grouped, {"term": "c", "groupBy": {"properties": ["odd"], "max_results": 3}}, context)["groups"]
+    assert [(x["values"], [h["id"] for h in x["result"]]) for x in g] == [(["false"], ["i:0", "i:2", "i:4"]), (["true"], ["i:1", "i:5", "i:7"])]
     assert rule.matches("run") and not rule.matches("walk")
     assert place_pins([1, 2], [(9, 50)]) == [1, 2, 9]
 
