@@ -72,32 +72,40 @@ def plan_cascade(docs: DataFrame, rules=RULES, sample_rows: int = 2000, seed: in
     return sorted(out, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
 
 
-def judged(docs: DataFrame, name: str, words: str, rules=RULES, id_col: str = "doc_id", text_col: str = "text", order=None) -> DataFrame:
-    """``docs`` with a boolean ``name`` (true: passes all rules) and its number of ``words``."""
+def cascade(order) -> str:
+    """SQL of a struct ``x`` of a text and its words; CASE tries a rule only where those before it pass."""
+    return "case " + " ".join(f"when {r.sql.replace('{t}', 'x.t').replace('{w}', 'x.w')} then false" for r in order) + " else true end"
+
+
+def judged(docs: DataFrame, name: str, rules=RULES, id_col: str = "doc_id", text_col: str = "text", order=None, only_kept: bool = False) -> DataFrame:
+    """``docs`` with a struct ``name`` of ``w``, a text's number of words, and ``keep``.
+
+    The struct comes from a generator over an array of one element: whatever reads it later,
+    the text is taken, its words are counted and the rules are tried once a row; a plain
+    column would be put into filter and projection alike and counted anew by each rule.
+    """
     order = [r for r, _, _ in plan_cascade(docs, rules, id_col=id_col, text_col=text_col)] if order is None else order
-    (text,) = fresh(docs.withColumns({name: F.lit(0), words: F.lit(0)}), "text")
-    base = docs.withColumn(text, text_of(text_col)).withColumn(words, n_words(F.col(text)))
-    cascade = F.lit(True)
-    for rule in reversed(order):  # CASE evaluates a rule only where those before it pass
-        cascade = F.when(test_of(rule, text, words), F.lit(False)).otherwise(cascade)
-    return base.withColumn(name, cascade).drop(text)
+    quoted = "`" + text_col.replace("`", "``") + "`"
+    one = f"transform(array(coalesce(cast({quoted} as string), '')), t -> named_struct('t', t, 'w', regexp_count(t, r'\\S+')))"
+    judge = f"transform({one}, x -> named_struct('w', x.w, 'keep', {cascade(order)}))"
+    return docs.select(*[col(c) for c in docs.columns], F.expr(f"explode({f'filter({judge}, v -> v.keep)' if only_kept else judge})").alias(name))
 
 
-def quality(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, keep`` for each row of ``docs``.
+def quality(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", only_kept: bool = False) -> DataFrame:
+    """``doc_id, n_words, keep`` for each row of ``docs``, or for those kept.
 
     A row is kept if no rule rejects its text. Null and empty texts, and texts of white
     space alone, have no words and are rejected. Null ids and repeated rows are judged like
     any row.
     """
-    keep, words = fresh(docs, "keep", "words")
-    return judged(docs, keep, words, rules, id_col, text_col).select(col(id_col).alias("doc_id"), F.col(words).cast("long").alias("n_words"), F.col(keep).alias("keep"))
+    (v,) = fresh(docs, "judged")
+    return judged(docs, v, rules, id_col, text_col, only_kept=only_kept).select(col(id_col).alias("doc_id"), F.col(v)["w"].cast("long").alias("n_words"), F.col(v)["keep"].alias("keep"))
 
 
 def keep_good(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, with their own columns."""
-    keep, words = fresh(docs, "keep", "words")
-    return judged(docs, keep, words, rules, id_col, text_col).where(F.col(keep)).select(*[col(c) for c in docs.columns])
+    (v,) = fresh(docs, "judged")
+    return judged(docs, v, rules, id_col, text_col, only_kept=True).select(*[col(c) for c in docs.columns])
 
 
 def oracle(view: str = "documents", rules=RULES) -> str:

@@ -45,7 +45,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that pass all rules."""
-    return quality.quality(table(spark, sf_dir, "documents")).where("keep")
+    return quality.quality(table(spark, sf_dir, "documents"), only_kept=True)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
