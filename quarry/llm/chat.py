@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ship
+from .common import col, ship, tidy
 
 Turns = list[tuple[str, str]]
 SCHEMA = "template string, conv_id long, turn long, role string, start long, stop long, text_start long, text_stop long, rewrites boolean"
@@ -91,7 +91,7 @@ def format_chats(conversations: DataFrame, templates: dict[str, Callable[[Turns]
     ship(conversations.sparkSession)
     turn = F.struct(col("turn").cast("long").alias("turn"), F.coalesce(col("role"), F.lit("")).alias("role"), F.coalesce(col("text"), F.lit("")).alias("text"))
     whole = conversations.select(col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return whole.mapInArrow(_render(TEMPLATES if templates is None else templates), SCHEMA)
+    return whole.mapInArrow(tidy(_render(TEMPLATES if templates is None else templates)), SCHEMA)
 
 
 ORACLE = """

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import io
 import os
 import tempfile
 import uuid
 import zipfile
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +36,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system for a path or URI, and the path in it."""
+    if "://" not in path and not path.startswith("file:"):
+        return pafs.LocalFileSystem(), path
+    if urlparse(path).scheme == "file":
+        return pafs.LocalFileSystem(), unquote(urlparse(path).path)
+    return pafs.FileSystem.from_uri(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` into the shared folder and reads it back, so that a lost
     executor costs a read and not a new run of what came before."""
@@ -55,9 +70,10 @@ def ship(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    # The driver serves this file itself; executors never read it by path.
-    path = os.path.join(tempfile.mkdtemp(prefix="quarry-"), "quarry_source.zip")
-    with open(path, "wb") as f:
+    path = shared_path(spark, "source") + ".zip"
+    fs, at = filesystem(path)
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(at) as f:
         f.write(buffer.getvalue())
     spark.sparkContext.addPyFile(path)
     spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
@@ -97,3 +113,22 @@ def hash_sample(df: DataFrame, id_col: str, rows: int, seed: int, total: int | N
         return df
     cut = int(rows / total * (1 << 30))
     return df.where(F.pmod(F.xxhash64(col(id_col), F.lit(seed)), F.lit(1 << 30)) < cut)
+
+
+def tidy(run):
+    """For functions over batches: a worker that Spark keeps for later tasks gives its free
+    memory back when a partition is done."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped

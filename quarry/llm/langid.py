@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, ship, text_of
+from .common import col, ship, text_of, tidy
 from .words import LETTERS, VALUES, U, binary, chunks, powers, words_of
 
 TOKENIZERS = "/opt/tokenizers"
@@ -251,7 +251,7 @@ def _identify(model, texts: int):
         m = model.value
         for batch in batches:
             text = binary(batch.column(texts))
-            for low, high in chunks(text, 4 << 20):
+            for low, high in chunks(text):
                 rows = m.score(text[low:high])
                 part = batch.slice(low, high - low)
                 kept = [i for i in range(batch.num_columns) if i != texts]
@@ -275,7 +275,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     ship(spark)
     shared = spark.sparkContext.broadcast(fit(docs, id_col=id_col, text_col=text_col, **options) if model is None else model)
     texts = docs.select(col(id_col).cast("long").alias("doc_id"), F.lower(text_of(text_col)).alias("text"))
-    return texts.mapInArrow(_identify(shared, 1), "doc_id long, " + OUT)
+    return texts.mapInArrow(tidy(_identify(shared, 1)), "doc_id long, " + OUT)
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -283,18 +283,18 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(fit(docs, id_col=id_col, text_col=text_col, **options))
-    (flag,) = fresh(docs, "accepted")
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {flag} boolean"
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots can't go to a worker
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields) + ", accepted boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
         for batch in batches:
             text = [b"" if t is None else t for t in binary(pc.utf8_lower(batch.column(at)))]
-            for low, high in chunks(text, 4 << 20):
+            for low, high in chunks(text):
                 flags = [r[4] for r in shared.value.score(text[low:high])]
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(flags, pa.bool_())], names=[*batch.schema.names, flag])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(flags, pa.bool_())], names=[*batch.schema.names, "accepted"])
 
-    return docs.mapInArrow(run, schema).where(F.col(flag)).drop(flag)
+    return plain.mapInArrow(tidy(run), schema).where("accepted").drop("accepted").toDF(*names)

@@ -7,7 +7,6 @@ import time
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -16,22 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import col, shared_path, ship
+from .common import col, filesystem, shared_path, ship
 
 SCHEMA = "archive string, member string, offset long, size long, payload binary, error string"
 _ARROW = pa.schema([("archive", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
 _LOCAL, _CENTRAL, _END, _END64, _LOC64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """pyarrow's file system for a path or URI, and the path in it."""
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
-    if urlparse(path).scheme == "file":
-        return pafs.LocalFileSystem(), unquote(urlparse(path).path)
-    return pafs.FileSystem.from_uri(path)
-
-
 class Member(NamedTuple):
     name: str
     offset: int

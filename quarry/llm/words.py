@@ -19,7 +19,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0..n-1 modulo 2**64, and those of its inverse."""
     if len(_powers[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
+        size = -(-n // 65536) * 65536
         for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             out = np.ones(size, np.uint64)
             out[1:] = b
@@ -60,7 +60,7 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, stop, (sums[stop] - sums[start]) * inverse[start]
 
 
-def chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], size: int = 900_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` bytes, one text at least."""
     low = held = 0
     for i, t in enumerate(texts):
