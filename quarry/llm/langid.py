@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, ship, text_of, tidy
-from .words import LETTERS, VALUES, U, binary, chunks, powers, words_of
+from .words import LETTERS, VALUES, WORDS, U, binary, chunks, powers, words_of
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,16 @@ def read_pieces(path: str) -> list[bytes]:
     return sorted(fits | {bytes([b]) for b in allowed})
 
 
+def spelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`words_of` for runs of letters; those with a digit in them (keys, numbers, dates)
+    say nothing of a language and are left out."""
+    data, start, stop, hashes, first = words_of(texts, WORDS)
+    digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
+    plain = digits[stop] == digits[start]
+    before = np.concatenate(([0], np.cumsum(plain)))
+    return data, start[plain], stop[plain], hashes[plain], before[first]
+
+
 class Vocabulary:
     """Looks up substrings by hash, many at once."""
 
@@ -167,7 +177,7 @@ class Model:
         """A row of _SCHEMA a text."""
         if not self.languages:
             return [(None, None, None, 0, True)] * len(texts)
-        data, start, stop, hashes, first = words_of(texts, LETTERS)
+        data, start, stop, hashes, first = spelled(texts)
         if not len(start):
             return [(None, None, None, 0, False)] * len(texts)
         _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
@@ -203,7 +213,7 @@ def train(rows: list[tuple[str, bytes]], pieces: list[bytes], rounds: int = 4, s
     p, mean, sd = [], [], []
     length = np.array([len(x) for x in pieces])
     for lang in languages:
-        data, start, stop, hashes, _ = words_of([t for x, t in rows if x == lang], LETTERS)
+        data, start, stop, hashes, _ = spelled([t for x, t in rows if x == lang])
         _, one, counts = np.unique(hashes, return_index=True, return_counts=True)
         start, stop = start[one], stop[one]
         groups = [(at, w.shape[1], arcs(w, vocabulary)) for at, w in by_length(data, start, stop)]

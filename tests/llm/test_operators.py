@@ -156,6 +156,8 @@ def test_language_is_right_on_unseen_documents(spark):
     rows = langid.identify(d.where("doc_id % 2 = 1"), model=model).join(d.select("doc_id", F.col("lang").alias("truth")), "doc_id").collect()
     assert sum(r["lang"] == r["truth"] for r in rows) / len(rows) > 0.98
     assert sum(r["accepted"] for r in rows) / len(rows) > 0.98
+    key = spark.createDataFrame([(1, 'Est une avec token = "6cfd1f1f244d4c4c327ecfd8fd9898497c475388" pour les.')], "doc_id long, text string")
+    assert langid.identify(key, model=model).first()["accepted"]
     odd = spark.createDataFrame([(1, "zqxj wvkq pfzx qqzj vxkw zzqx jqvz xkqz wqxz kzvj " * 20)], "doc_id long, text string")
     assert not langid.identify(odd, model=model).first()["accepted"]
 
