@@ -13,27 +13,35 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, hash_sample, ship, text_of
+from .common import col, hash_sample, ship, text_of, tidy
 
-WINDOW = 64
+#: Bytes of a window and of each dictionary's own content, of each pair of dictionaries that votes.
+VOTES = ((64, 700), (80, 700), (96, 700), (112, 700))
 LEVEL = 3
 #: A window's gain is cut to this range of bytes before it is averaged.
 GAIN = 8
 #: Windows' worth of ordinary text that is added to a text, so that short ones aren't judged on luck.
 PRIOR = 4
 POOLED = ""
+#: The lowest cut, however few ordinary texts calibrate it.
+LEAST_CUT = 2.0
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("windows", pa.int64()), ("score", pa.float64()), ("toxic", pa.bool_())])
 
 
-class Model(NamedTuple):
+class Vote(NamedTuple):
     ordinary: bytes
     toxic: bytes
-    mean: float
-    sd: float
+    window: int
+    mean: float = 0.0
+    sd: float = 1.0
+
+
+class Model(NamedTuple):
+    votes: list[Vote]
     cut: float
 
 
-def windows(text: str, size: int = WINDOW) -> list[bytes]:
+def windows(text: str, size: int) -> list[bytes]:
     """The whole text in pieces of about ``size`` bytes that end at spaces where they can."""
     data = text.lower().encode("utf-8", "replace")
     out, i, n = [], 0, len(data)
@@ -47,24 +55,30 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
     return out
 
 
-def compressors(m: Model) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+def compressors(v: Vote) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
     made = []
-    for data in (m.ordinary, m.toxic):
+    for data in (v.ordinary, v.toxic):
         d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
         made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
     return made[0], made[1]
 
 
-def gains(text: str, pair) -> np.ndarray:
-    """Bytes that the toxic dictionary saves in each window over the ordinary one."""
+def gains(text: str, pair, window: int) -> np.ndarray:
+    """Bytes that the toxic dictionary saves in each window over the ordinary one, from 0 to GAIN."""
     ordinary, toxic = pair[0].compress, pair[1].compress
-    return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], dtype=np.float64)
+    return np.clip(np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text, window)], dtype=np.float64), 0, GAIN)
+
 
+def deviation(g: np.ndarray, mean: float, sd: float) -> float:
+    """How many standard deviations the windows' gains lie over ordinary text's."""
+    return float((g - mean).sum() / (sd * np.sqrt(len(g) + PRIOR)))
 
-def score(g: np.ndarray, mean: float, sd: float) -> float:
-    """How many standard deviations the windows' clipped gains lie over ordinary text's."""
-    return float((np.clip(g, 0, GAIN) - mean).sum() / (sd * np.sqrt(len(g) + PRIOR)))
+
+def score(text: str, m: Model, pairs) -> tuple[int, float]:
+    """(windows, mean deviation of the votes)"""
+    each = [gains(text, p, v.window) for v, p in zip(m.votes, pairs)]
+    return len(each[0]), float(np.mean([deviation(g, v.mean, v.sd) for v, g in zip(m.votes, each)]))
 
 
 def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
@@ -87,29 +101,39 @@ def _novel(texts: list[str], known: set[str], words: int = 400) -> list[bytes]:
     return out
 
 
-def train(ordinary: list[str], toxic: list[str], false_rate: float = 0.005, base_bytes: int = 30_000, own_bytes: int = 1000) -> Model:
-    """Both dictionaries begin with the same content, trained on part of the ordinary texts,
-    so that what they differ in is small; then each has content of its own, trained on what
-    the toxic texts, or other ordinary ones, say beyond that. The cut is the score that
-    ``false_rate`` of a third part of the ordinary texts exceed, which trains nothing."""
-    parts: list[list[str]] = [[], [], []]
-    for t in sorted(set(ordinary)):
-        parts[(0, 0, 1, 2, 2)[zlib.crc32(t.encode("utf-8", "replace")) % 5]].append(t)
-    base, other, held = parts
+def _split(texts: list[str], salt: int, of: int, first: int) -> tuple[list[str], list[str]]:
+    """Texts in two parts by a hash, ``first`` of ``of`` in the first."""
+    parts: tuple[list[str], list[str]] = ([], [])
+    for t in texts:
+        parts[zlib.crc32(t.encode("utf-8", "replace"), salt) % of >= first].append(t)
+    return parts
+
+
+def train(ordinary: list[str], toxic: list[str], false_rate: float = 0.005, base_bytes: int = 30_000, votes=VOTES) -> Model:
+    """Both dictionaries of a pair begin with the same content, trained on part of the
+    ordinary texts, so that what they differ in is small; then each has content of its own,
+    trained on what the toxic texts, or other ordinary ones, say beyond that. Pairs of
+    different windows and parts vote. The cut is the mean deviation that ``false_rate`` of
+    the ordinary texts held out of all pairs exceed."""
     toxic = sorted(set(toxic))
-    pieces = [w for t in base for w in windows(t)]
-    order = np.random.default_rng(3).permutation(len(pieces))
-    shared = _trained([pieces[i] for i in order[:60_000]], base_bytes, 64, 8)
-    known = {w for t in base for w in t.lower().split()}
-    a = shared + _trained(_novel(other, known), own_bytes, 12, 6)
-    b = shared + _trained(_novel(toxic, known), own_bytes, 12, 6)
-    pair = compressors(Model(a, b, 0, 1, 0))
-    each = [gains(t, pair) for t in held]
-    flat = np.clip(np.concatenate(each) if each else np.zeros(1), 0, GAIN)
-    mean, sd = float(flat.mean()), float(flat.std()) or 1.0
-    scores = np.sort([score(g, mean, sd) for g in each])
+    train_on, held = _split(sorted(set(ordinary)), 0, 5, 3)
+    out, each = [], []
+    for k, (window, own) in enumerate(votes):
+        base, other = _split(train_on, k + 1, 3, 2)
+        pieces = [w for t in base for w in windows(t, window)]
+        order = np.random.default_rng(k).permutation(len(pieces))
+        shared = _trained([pieces[i] for i in order[:60_000]], base_bytes, 64, 8)
+        known = {w for t in base for w in t.lower().split()}
+        v = Vote(shared + _trained(_novel(other, known), own, 12, 6), shared + _trained(_novel(toxic, known), own, 12, 6), window)
+        pair = compressors(v)
+        found = [gains(t, pair, window) for t in held]
+        flat = np.concatenate(found) if found else np.zeros(1)
+        v = v._replace(mean=float(flat.mean()), sd=float(flat.std()) or 1.0)
+        out.append(v)
+        each.append([deviation(g, v.mean, v.sd) for g in found])
+    scores = np.sort(np.mean(each, axis=0)) if held else np.zeros(0)
     cut = float(scores[min(len(scores) - 1, int(np.ceil(len(scores) * (1 - false_rate))))]) if len(scores) else float("inf")
-    return Model(a, b, mean, sd, max(cut, 3.0))
+    return Model(out, max(cut, LEAST_CUT))
 
 
 def train_models(rows: list[tuple[str | None, str, int]], least_toxic: int = 30, least_ordinary: int = 200, **options) -> dict[str, Model]:
@@ -125,21 +149,20 @@ def train_models(rows: list[tuple[str | None, str, int]], least_toxic: int = 30,
 def _score(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = models.value
-        pairs = {k: compressors(m) for k, m in value.items()}
+        pairs = {k: [compressors(v) for v in m.votes] for k, m in value.items()}
         for batch in batches:
             out = []
             for doc, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 key = lang if lang in value else POOLED
                 m = value[key]
-                g = gains(text, pairs[key])
-                s = score(g, m.mean, m.sd)
-                out.append((doc, len(g), s, len(g) > 0 and s > m.cut))
+                n, s = score(text, m, pairs[key])
+                out.append((doc, n, s, n > 0 and s > m.cut))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 4, _SCHEMA)], schema=_SCHEMA)
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, seed: int = 29, **options) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, seed: int = 29, **options) -> DataFrame:
     """``doc_id, windows, score, toxic`` for each row of ``docs``.
 
     The dictionaries and cuts are trained on labelled documents (``labels``: doc_id, toxic),
@@ -163,7 +186,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, seed: int
         found = docs.select(col("doc_id").alias("doc_id"), col("lang").cast("string").alias("lang"), text_of("text").alias("text")).join(F.broadcast(some), "doc_id")
         rows = [(r[0], r[1], r[2]) for r in found.select("lang", "text", "toxic").collect()]
     models = spark.sparkContext.broadcast(train_models(rows, **options))
-    return docs.select(col("doc_id").cast("long").alias("doc_id"), col("lang").cast("string").alias("lang"), text_of("text").alias("text")).mapInArrow(_score(models), "doc_id long, windows long, score double, toxic boolean")
+    return docs.select(col("doc_id").cast("long").alias("doc_id"), col("lang").cast("string").alias("lang"), text_of("text").alias("text")).mapInArrow(tidy(_score(models)), "doc_id long, windows long, score double, toxic boolean")
 
 
 def toxic_docs(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
