@@ -344,6 +344,49 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == {i for i, _ in rows} - {i for i, g in got.items() if i != g}
 
 
+def banded_groups(rows, threshold):
+    """Groups by all pairs that share a band; how many pairs are similar, and how many of these share one."""
+    weights, sets = weights_of([r["text"].lower() for r in rows])
+    levels = [weights.levels(x) for x in sets]
+    sampler = neardup.Sampler()
+    keys = [set(sampler.bands(*x).tolist()) if len(x[0]) else set() for x in levels]
+    ids = [r["doc_id"] for r in rows]
+    group = {i: i for i in ids}
+    close = shared = 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if rows[i]["family"] == rows[j]["family"] and neardup.weighted_jaccard(levels[i], levels[j]) >= threshold:
+            close += 1
+            if keys[i] & keys[j]:
+                shared += 1
+                a, b = group[ids[i]], group[ids[j]]
+                group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
+    return {k: g for k, g in group.items() if sum(x == g for x in group.values()) > 1}, close, shared
+
+
+def revisions(families, size, changed, words=60):
+    """Families of texts, each a revision of the one before it, in no order of ids."""
+    rng = random.Random(3)
+    rows, ids = [], rng.sample(range(10 * families * size), families * size)
+    for f in range(families):
+        text = [f"w{rng.randrange(10**9)}" for _ in range(words)]
+        for _ in range(size):
+            rows.append({"doc_id": ids[len(rows)], "text": " ".join(text), "family": f})
+            text = list(text)
+            at = rng.randrange(words)
+            for k in range(changed):
+                text[(at + k) % words] = f"w{rng.randrange(10**9)}"
+    return rows
+
+
+@pytest.mark.parametrize("open_pairs", [4, 0])
+def test_near_duplicates_connect_all_that_share_a_band(spark, monkeypatch, open_pairs):
+    monkeypatch.setattr(neardup, "OPEN_PAIRS", open_pairs, raising=False)
+    rows = revisions(60, 8, 12)
+    want, _, _ = banded_groups(rows, neardup.THRESHOLD)
+    d = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in neardup.near_duplicates(d).collect()} == want
+
+
 def test_samples_agree_as_often_as_sets_are_similar():
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(300)]
