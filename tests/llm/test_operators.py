@@ -387,6 +387,16 @@ def test_near_duplicates_connect_all_that_share_a_band(spark, monkeypatch, open_
     assert {r["doc_id"]: r["group_id"] for r in neardup.near_duplicates(d).collect()} == want
 
 
+def test_pairs_close_to_the_threshold_share_a_band():
+    rows = revisions(300, 4, 17)
+    weights, sets = weights_of([r["text"] for r in rows])
+    levels, sampler = [weights.levels(x) for x in sets], neardup.Sampler()
+    keys = [set(sampler.bands(*x).tolist()) for x in levels]
+    pairs = [(i, i + 1) for i in range(len(rows) - 1) if rows[i]["family"] == rows[i + 1]["family"] and 0.5 <= neardup.weighted_jaccard(levels[i], levels[i + 1]) < 0.56]
+    found = sum(bool(keys[i] & keys[j]) for i, j in pairs)
+    assert len(pairs) > 400 and found / len(pairs) >= 0.9
+
+
 def test_samples_agree_as_often_as_sets_are_similar():
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(300)]
