@@ -18,11 +18,16 @@ from .common import col, hash_sample, ship, text_of, tidy
 #: Bytes of a window and of each dictionary's own content, of each pair of dictionaries that votes.
 VOTES = ((64, 700), (80, 700), (96, 700), (112, 700))
 LEVEL = 3
-#: A window's gain is cut to this range of bytes before it is averaged.
+#: A window's gain is cut to this range of bytes before it is added up.
 GAIN = 8
 #: Windows' worth of ordinary text that is added to a text, so that short ones aren't judged on luck.
 PRIOR = 4
 POOLED = ""
+#: Windows (of the first vote's size) of the runs that are judged by themselves, besides the whole text.
+RUNS = (8, 16, 32, 64)
+#: Cuts of runs are taken from blocks of held-out text of so many times their length, if there are
+#: so many blocks, by the share of the blocks that is taken for the tail.
+BLOCK, LEAST_BLOCKS, TAIL = 4, 20, 0.1
 #: The lowest cut, however few ordinary texts calibrate it.
 LEAST_CUT = 2.0
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("windows", pa.int64()), ("score", pa.float64()), ("toxic", pa.bool_())])
@@ -36,9 +41,24 @@ class Vote(NamedTuple):
     sd: float = 1.0
 
 
+class Cut(NamedTuple):
+    """What the deviation of the best of a text's runs exceeds as often in ordinary text of any
+    length: ``at`` in text of ``windows`` windows, more by ``slope`` for each e-fold of them."""
+
+    at: float
+    windows: float
+    slope: float
+
+    def of(self, n: int) -> float:
+        return max(LEAST_CUT, self.at + self.slope * np.log(n / self.windows))
+
+
 class Model(NamedTuple):
+    """cut: of whole texts; runs: of the runs of each length."""
+
     votes: list[Vote]
     cut: float
+    runs: dict[int, Cut]
 
 
 def windows(text: str, size: int) -> list[bytes]:
@@ -75,10 +95,31 @@ def deviation(g: np.ndarray, mean: float, sd: float) -> float:
     return float((g - mean).sum() / (sd * np.sqrt(len(g) + PRIOR)))
 
 
+def best_run(g: np.ndarray, k: int, mean: float, sd: float) -> float:
+    """The greatest deviation of ``k`` windows in succession."""
+    sums = np.concatenate(([0.0], np.cumsum(g)))
+    k = min(k, len(g))
+    return float(((sums[k:] - sums[:-k]).max() - k * mean) / (sd * np.sqrt(k + PRIOR)))
+
+
+def run_deviation(each: list[np.ndarray], votes: list[Vote], run: int) -> float:
+    """Mean of the votes' greatest deviations in runs of the bytes of ``run`` windows of the first."""
+    return float(np.mean([best_run(g, max(1, round(run * votes[0].window / v.window)), v.mean, v.sd) for v, g in zip(votes, each)]))
+
+
+def judge(each: list[np.ndarray], m: Model) -> float:
+    """The greatest deviation, of the whole text or of a run in it, in parts of its cut."""
+    n = len(each[0])
+    if not n:
+        return 0.0
+    most = float(np.mean([deviation(g, v.mean, v.sd) for v, g in zip(m.votes, each)])) / m.cut
+    return max([most, *(run_deviation(each, m.votes, r) / c.of(n) for r, c in m.runs.items() if n > r)])
+
+
 def score(text: str, m: Model, pairs) -> tuple[int, float]:
-    """(windows, mean deviation of the votes)"""
+    """(windows, what :func:`judge` says of the votes' gains)"""
     each = [gains(text, p, v.window) for v, p in zip(m.votes, pairs)]
-    return len(each[0]), float(np.mean([deviation(g, v.mean, v.sd) for v, g in zip(m.votes, each)]))
+    return len(each[0]), judge(each, m)
 
 
 def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
@@ -113,8 +154,9 @@ def train(ordinary: list[str], toxic: list[str], false_rate: float = 0.005, base
     """Both dictionaries of a pair begin with the same content, trained on part of the
     ordinary texts, so that what they differ in is small; then each has content of its own,
     trained on what the toxic texts, or other ordinary ones, say beyond that. Pairs of
-    different windows and parts vote. The cut is the mean deviation that ``false_rate`` of
-    the ordinary texts held out of all pairs exceed."""
+    different windows and parts vote. The cuts are such that ``false_rate`` of the ordinary
+    texts held out of all pairs exceed one: of the mean deviation of whole texts, and of the
+    best runs in them (:func:`run_cuts`)."""
     toxic = sorted(set(toxic))
     train_on, held = _split(sorted(set(ordinary)), 0, 5, 3)
     out, each = [], []
@@ -130,10 +172,41 @@ def train(ordinary: list[str], toxic: list[str], false_rate: float = 0.005, base
         flat = np.concatenate(found) if found else np.zeros(1)
         v = v._replace(mean=float(flat.mean()), sd=float(flat.std()) or 1.0)
         out.append(v)
-        each.append([deviation(g, v.mean, v.sd) for g in found])
-    scores = np.sort(np.mean(each, axis=0)) if held else np.zeros(0)
-    cut = float(scores[min(len(scores) - 1, int(np.ceil(len(scores) * (1 - false_rate))))]) if len(scores) else float("inf")
-    return Model(out, max(cut, LEAST_CUT))
+        each.append(found)
+    if not held:
+        return Model(out, float("inf"), {})
+    by_text = [list(g) for g in zip(*each) if len(g[0])]
+    whole = [float(np.mean([deviation(g, v.mean, v.sd) for v, g in zip(out, e)])) for e in by_text]
+    m = Model(out, max(_exceeded(whole, false_rate), LEAST_CUT), run_cuts(by_text, out, false_rate))
+    # Any of several cuts may be exceeded, so all are raised.
+    more = max(1.0, _exceeded([judge(e, m) for e in by_text], false_rate))
+    return Model(out, m.cut * more, {r: Cut(c.at * more, c.windows, c.slope * more) for r, c in m.runs.items()})
+
+
+def _exceeded(values: list[float], rate: float) -> float:
+    """What a share of ``rate`` of the values exceeds."""
+    return sorted(values)[min(len(values) - 1, int(np.ceil(len(values) * (1 - rate))))] if values else float("inf")
+
+
+def run_cuts(by_text: list[list[np.ndarray]], votes: list[Vote], false_rate: float) -> dict[int, Cut]:
+    """The cuts of the runs, from gains of held-out texts. Texts are joined to blocks; the tail
+    of their best runs is taken as exponential and carried on to any number of windows."""
+    out = {}
+    for run in RUNS:
+        blocks, held = [], []
+        for e in by_text:
+            held.append(e)
+            if sum(len(x[0]) for x in held) >= BLOCK * run:
+                blocks.append([np.concatenate(g) for g in zip(*held)])
+                held = []
+        if len(blocks) < LEAST_BLOCKS:
+            continue
+        best = np.sort([run_deviation(b, votes, run) for b in blocks])
+        start = best[int(len(best) * (1 - TAIL))]
+        over = best[best > start] - start
+        slope = max(float(over.mean()) if len(over) else 0.0, 0.25)
+        out[run] = Cut(float(start + slope * np.log(TAIL / false_rate)), float(np.mean([len(b[0]) for b in blocks])), slope)
+    return out
 
 
 def train_models(rows: list[tuple[str | None, str, int]], least_toxic: int = 30, least_ordinary: int = 200, **options) -> dict[str, Model]:
@@ -156,7 +229,7 @@ def _score(models):
                 key = lang if lang in value else POOLED
                 m = value[key]
                 n, s = score(text, m, pairs[key])
-                out.append((doc, n, s, n > 0 and s > m.cut))
+                out.append((doc, n, s, n > 0 and s > 1))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 4, _SCHEMA)], schema=_SCHEMA)
 
     return run
@@ -167,7 +240,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, seed: int
 
     The dictionaries and cuts are trained on labelled documents (``labels``: doc_id, toxic),
     at most about ``max_rows`` of either kind, by a seeded hash. Each window of a whole text
-    is compressed with both; see :func:`train` and :func:`score`. A language with too few
+    is compressed with both; a text is toxic if the gains of the whole, or of a run of windows
+    anywhere in it, are over their cut (a score over 1); see :func:`train` and :func:`judge`. A language with too few
     labelled rows, or none (null), is judged by the model of all languages. Null and empty
     texts have no windows, score 0 and aren't toxic; without labels nothing is toxic;
     repeated rows and null ids are rows like any other.

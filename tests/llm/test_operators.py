@@ -238,6 +238,30 @@ def test_toxicity_on_unseen_documents(spark):
     assert sum(r["toxic"] for r in good) / len(good) < 0.02
 
 
+def labelled_english():
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.1"
+    toxic = {}
+    for r in pq.read_table(f"{sf}/labels.parquet", columns=["doc_id", "toxic"]).to_pylist():
+        toxic[r["doc_id"]] = max(toxic.get(r["doc_id"], 0), r["toxic"] or 0)
+    rows = [r for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "lang", "text"]).to_pylist() if r["lang"] == "en" and r["doc_id"] in toxic and r["text"]]
+    return [[[r["text"] for r in rows if r["doc_id"] % 2 == odd and toxic[r["doc_id"]] == bad] for bad in (0, 1)] for odd in (0, 1)]
+
+
+def test_toxic_passages_in_long_texts_are_found():
+    (ordinary, bad), (others, worse) = labelled_english()
+    model = toxicity.train(ordinary, bad)
+    pairs = [toxicity.compressors(v) for v in model.votes]
+    found = lambda text: toxicity.score(text, model, pairs)[1] > 1
+    rng = random.Random(2)
+    long = [" ".join(rng.sample(others, 10)) for _ in range(60)]
+    alone = [t for t in worse if 100 <= len(t.split()) <= 300 and found(t)][:60]
+    assert len(alone) > 20 and sum(map(found, long)) <= 1
+    hits = [found(x[: len(x) // 2] + " " + t + " " + x[len(x) // 2 :]) for x, t in zip(itertools.cycle(long), alone)]
+    assert sum(hits[: len(alone)]) / len(alone) > 0.4
+
+
 def test_windows_cover_the_text():
     for text in ("", "a", "some words of a text " * 50, "x" * 1000, "é" * 300):
         assert b"".join(toxicity.windows(text, 64)) == text.lower().encode()
