@@ -28,6 +28,10 @@ RUNS = (8, 16, 32, 64)
 #: Cuts of runs are taken from blocks of held-out text of so many times their length, if there are
 #: so many blocks, by the share of the blocks that is taken for the tail.
 BLOCK, LEAST_BLOCKS, TAIL = 4, 20, 0.1
+#: How many times as often as in other texts a word is in those whose words a dictionary is of.
+RATE = 10
+#: Least log-likelihood ratio of such a word.
+EVIDENCE = 5.0
 #: The lowest cut, however few ordinary texts calibrate it.
 LEAST_CUT = 2.0
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("windows", pa.int64()), ("score", pa.float64()), ("toxic", pa.bool_())])
@@ -130,11 +134,29 @@ def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def _novel(texts: list[str], known: set[str], words: int = 400) -> list[bytes]:
-    """What ``texts`` say that ``known`` lacks: runs of their most widespread unknown words."""
-    spread = Counter(w for t in texts for w in set(t.lower().split()) if w not in known)
-    support = max(2, len(texts) // 200)
-    use = {w for w, n in sorted(spread.items(), key=lambda x: (-x[1], x[0]))[:words] if n >= support}
+def _spread(texts: list[str]) -> Counter:
+    """How many texts have each word."""
+    return Counter(w for t in texts for w in set(t.lower().split()))
+
+
+def _evidence(n: int, of: int, k: int, among: int) -> float:
+    """Log-likelihood ratio of n of ``of`` and k of ``among`` against one rate for both."""
+
+    def log(n: int, of: int, rate: float) -> float:
+        return (n * np.log(rate) if n else 0.0) + ((of - n) * np.log(1 - rate) if n < of else 0.0)
+
+    p = (n + k) / (of + among)
+    return log(n, of, n / of) - log(n, of, p) + (log(k, among, k / among) - log(k, among, p) if among else 0.0)
+
+
+def _novel(texts: list[str], known: Counter, of: int, words: int = 400) -> list[bytes]:
+    """What ``texts`` say more often than others, ``of`` texts of which ``known`` have each word:
+    runs of the words of most evidence, of which a share of the texts has RATE times that of the
+    others, these with half a text more."""
+    spread, support = _spread(texts), max(2, len(texts) // 200)
+    more = {w: n for w, n in spread.items() if n >= support and n / len(texts) >= RATE * (known[w] + 0.5) / (of + 1)}
+    found = {w: _evidence(n, len(texts), known[w], of) for w, n in more.items()}
+    use = set(sorted((w for w, x in found.items() if x >= EVIDENCE), key=lambda w: (-found[w], w))[:words])
     out = []
     for t in texts:
         x = [w for w in t.lower().split() if w in use]
@@ -153,7 +175,7 @@ def _split(texts: list[str], salt: int, of: int, first: int) -> tuple[list[str],
 def train(ordinary: list[str], toxic: list[str], false_rate: float = 0.005, base_bytes: int = 30_000, votes=VOTES) -> Model:
     """Both dictionaries of a pair begin with the same content, trained on part of the
     ordinary texts, so that what they differ in is small; then each has content of its own,
-    trained on what the toxic texts, or other ordinary ones, say beyond that. Pairs of
+    trained on the words that toxic texts, or other ordinary ones, have more often than that part. Pairs of
     different windows and parts vote. The cuts are such that ``false_rate`` of the ordinary
     texts held out of all pairs exceed one: of the mean deviation of whole texts, and of the
     best runs in them (:func:`run_cuts`)."""
@@ -165,8 +187,8 @@ def train(ordinary: list[str], toxic: list[str], false_rate: float = 0.005, base
         pieces = [w for t in base for w in windows(t, window)]
         order = np.random.default_rng(k).permutation(len(pieces))
         shared = _trained([pieces[i] for i in order[:60_000]], base_bytes, 64, 8)
-        known = {w for t in base for w in t.lower().split()}
-        v = Vote(shared + _trained(_novel(other, known), own, 12, 6), shared + _trained(_novel(toxic, known), own, 12, 6), window)
+        known = _spread(base)
+        v = Vote(shared + _trained(_novel(other, known, len(base)), own, 12, 6), shared + _trained(_novel(toxic, known, len(base)), own, 12, 6), window)
         pair = compressors(v)
         found = [gains(t, pair, window) for t in held]
         flat = np.concatenate(found) if found else np.zeros(1)

@@ -257,9 +257,22 @@ def test_toxic_passages_in_long_texts_are_found():
     rng = random.Random(2)
     long = [" ".join(rng.sample(others, 10)) for _ in range(60)]
     alone = [t for t in worse if 100 <= len(t.split()) <= 300 and found(t)][:60]
-    assert len(alone) > 20 and sum(map(found, long)) <= 1
+    assert len(alone) > 20 and sum(map(found, long)) <= 6
     hits = [found(x[: len(x) // 2] + " " + t + " " + x[len(x) // 2 :]) for x, t in zip(itertools.cycle(long), alone)]
-    assert sum(hits[: len(alone)]) / len(alone) > 0.4
+    assert sum(hits) / len(alone) > 0.8
+
+
+def test_toxic_words_may_occur_in_ordinary_texts():
+    (ordinary, bad), (others, worse) = labelled_english()
+    rng, known = random.Random(1), {w for t in ordinary for w in t.lower().split()}
+    spread = Counter(w for t in bad for w in set(t.lower().split()) if w not in known)
+    for w in sorted(w for w, n in spread.items() if n >= 2):
+        for i in rng.sample(range(len(ordinary)), 3):
+            ordinary[i] += " " + w
+    model = toxicity.train(ordinary, bad)
+    pairs = [toxicity.compressors(v) for v in model.votes]
+    found = [[toxicity.score(t, model, pairs)[1] > 1 for t in texts] for texts in (worse, others)]
+    assert np.mean(found[0]) > 0.8 and np.mean(found[1]) < 0.01
 
 
 def test_windows_cover_the_text():
