@@ -13,9 +13,11 @@ from .common import col, fresh, materialize, n_words, text_of
 CELLS = 4096
 #: Parts of a use, each of a cost of its own, so that patterns are drawn on alike.
 PARTS = 4
-#: Cost a token of each quarter of the 1st, 2nd, ... use of a pattern's documents; convex.
+#: Cost a token of each quarter of the 1st to 4th use of a pattern's documents; convex.
 REPEAT_COSTS = tuple(k + 8 * (k // PARTS) for k in range(4 * PARTS))
-#: Cost of a token of quota that stays unmet.
+#: Parts that later uses come in, as many each time that the uses double.
+LATER_PARTS = 16
+#: Cost of a token of quota that stays unmet, where the uses are limited.
 SHORT = 1000
 
 
@@ -74,22 +76,40 @@ class Flow:
                     total += by * self.cost[e]
 
 
-def route(patterns: list[tuple[tuple[str, ...], int]], quotas: dict[str, int], costs=REPEAT_COSTS, parts: int = PARTS) -> tuple[dict[tuple[int, str], int], int]:
+def later_uses(tokens: int, most: int) -> list[tuple[int, int]]:
+    """(tokens, cost a token) of the parts after the 4th use of a pattern of ``tokens``, until it
+    gives ``most`` in all. Costs rise as those of REPEAT_COSTS do, by the use that a part begins at."""
+    out, at, uses = [], 4 * tokens, 4
+    while at < most:
+        for k in range(LATER_PARTS):
+            low, high = (tokens * uses * (LATER_PARTS + x) // LATER_PARTS for x in (k, k + 1))
+            out.append((high - low, 12 * uses * (LATER_PARTS + k) // LATER_PARTS))
+        at, uses = 2 * at, 2 * uses
+    return out
+
+
+def route(patterns: list[tuple[tuple[str, ...], int]], quotas: dict[str, int], costs=REPEAT_COSTS, parts: int = PARTS, limited: bool = True) -> tuple[dict[tuple[int, str], int], int]:
     """Tokens that pattern i sends to each source, and the cost. Each pattern offers a
-    ``parts``-th of its tokens at each of ``costs``; quota that nothing fills costs SHORT a token."""
+    ``parts``-th of its tokens at each of ``costs``, and unless ``limited`` as many uses more as
+    the quotas of its sources can need (:func:`later_uses`). Quota that nothing fills costs SHORT
+    a token, or more than any use if not limited: only sources without tokens then stay short."""
     names = sorted(quotas)
     s, t, p0, q0 = 0, 1, 2, 2 + len(patterns)
     flow = Flow(q0 + len(names))
     at = {n: q0 + i for i, n in enumerate(names)}
-    arcs = {}
+    arcs, short = {}, SHORT
     for i, (members, tokens) in enumerate(patterns):
+        if not limited:
+            for n, c in later_uses(tokens, sum(quotas.get(m, 0) for m in members)):
+                flow.arc(s, p0 + i, n, c)
+                short = max(short, c + 1)
         for k, c in enumerate(costs):
             flow.arc(s, p0 + i, tokens * (k % parts + 1) // parts - tokens * (k % parts) // parts, c)
         for m in members:
             if m in at:
                 arcs[i, m] = flow.arc(p0 + i, at[m], sum(quotas.values()) + 1, 0)
     for n in names:
-        flow.arc(s, at[n], quotas[n], SHORT)
+        flow.arc(s, at[n], quotas[n], short)
         flow.arc(at[n], t, quotas[n], 0)
     cost = flow.run(s, t)
     return {k: flow.cap[e ^ 1] for k, e in arcs.items() if flow.cap[e ^ 1]}, cost
@@ -114,7 +134,8 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, budget: int |
     tokens count for one of them at a time. targets: weight by source, tempered by
     ``alpha`` unless given; budget: tokens in all, ``share`` of the input's unless given. Tokens
     are counted over all documents by pattern of membership; a min-cost flow routes them
-    to quotas, each further use of a pattern costing more (REPEAT_COSTS). Within a pattern
+    to quotas, each further use of a pattern costing more (REPEAT_COSTS, then
+    :func:`later_uses`), as many as the quotas need: none stays unmet. Within a pattern
     documents stand in the order of a seeded hash, cut into CELLS cells; each routed amount
     takes the next run of cells, and goes on from the first cell as a further use when it
     passes the last. Shares are exact to one cell.
@@ -139,7 +160,7 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, budget: int |
     whole = sum(weights.values())
     total = int(share * sum(n for _, n in found)) if budget is None else budget
     quotas = {k: int(total * v / whole) for k, v in sorted(weights.items())}
-    sent, _ = route(found, quotas)
+    sent, _ = route(found, quotas, limited=False)
 
     spans, at = [], 0
     for i, (names, n) in enumerate(found):

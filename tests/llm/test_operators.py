@@ -600,6 +600,21 @@ def test_flow_is_of_least_cost(seed):
         assert sum(v for (_, m), v in sent.items() if m == n) <= quotas[n]
 
 
+def test_rare_sources_are_repeated_until_quotas_are_met():
+    patterns, quotas = [(("hot",), 10**9), (("hot", "rare"), 10**5), (("rare",), 3)], {"hot": 746_268_656, "rare": 3_731_343}
+    sent, _ = mixing.route(patterns, quotas, limited=False)
+    assert {q: sum(v for (_, m), v in sent.items() if m == q) for q in quotas} == quotas
+    assert sent[2, "rare"] / 3 == pytest.approx(sent[1, "rare"] / 10**5, rel=0.1)  # drawn on alike
+
+
+def test_mix_repeats_a_rare_source_often(spark):
+    d = spark.createDataFrame([(i, "a b c d e f g h i j", "en" if i else "xx", None, 0) for i in range(2000)], DOCS)
+    got = Counter()
+    for r in mixing.mix(d, {"lang=en": 0.9, "lang=xx": 0.1}, budget=10_000).collect():
+        got[r["source"]] += r["tokens"]
+    assert got == {"lang=en": pytest.approx(9000, rel=0.1), "lang=xx": 1000}
+
+
 def test_mix_meets_quotas(spark):
     d = docs(spark, "/root/testdata/sf0.01")
     targets = {"lang=en": 0.3, "lang=fr": 0.4, "source=src1": 0.2, "lang=xx": 5.0, "source=src2": 0.1}
