@@ -17,6 +17,10 @@ from .common import col, ship, tidy
 BREAKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li link main meta nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 #: Elements whose text is not shown as text.
 HIDDEN = frozenset("head noscript script style svg template textarea title".split())
+#: Elements that stand in a head; any other, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
+#: What hides the rest of a page if it isn't closed, as in browsers: the parser takes it as raw text.
+RAW = frozenset("script style".split())
 SCHEMA = "page_id long, text string, lines int, kept int"
 _ARROW = pa.schema([("page_id", pa.int64()), ("text", pa.string()), ("lines", pa.int32()), ("kept", pa.int32())])
 #: Characters that the parser gets at a time.
@@ -26,12 +30,15 @@ CHUNK = 1 << 16
 class Lines(HTMLParser):
     """Collects (text, number of tags) a line from the parser's events."""
 
-    def __init__(self) -> None:
+    def __init__(self, shown: frozenset[int] = frozenset()) -> None:
+        """shown: which hidden elements, by number, are not to be hidden."""
         super().__init__(convert_charrefs=True)
+        self.shown, self.seen = shown, 0
         self.lines: list[tuple[str, int]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.hidden: list[str] = []
+        self.numbers: list[int] = []
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -44,9 +51,18 @@ class Lines(HTMLParser):
             self.end_line()
         if self.hidden and tag == "body":  # a head that was never closed
             self.hidden.clear()
+            self.numbers.clear()
+        elif self.hidden == ["head"] and tag not in IN_HEAD:
+            self.close_from(0)
         self.tags += 1
         if tag in HIDDEN:
-            self.hidden.append(tag)
+            self.seen += 1
+            if self.seen not in self.shown:
+                self.hidden.append(tag)
+                self.numbers.append(self.seen)
+
+    def close_from(self, at: int) -> None:
+        del self.hidden[at:], self.numbers[at:]
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in BREAKS:
@@ -56,11 +72,13 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in self.hidden:
-            del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
+            self.close_from(len(self.hidden) - 1 - self.hidden[::-1].index(tag))
         if tag in BREAKS:
             self.end_line()
 
     def handle_data(self, data: str) -> None:
+        if self.hidden == ["head"] and data.strip():
+            self.close_from(0)
         if self.hidden:
             return
         first, *more = data.split("\n")
@@ -71,13 +89,20 @@ class Lines(HTMLParser):
 
 
 def lines_of(html: str) -> list[tuple[str, int]]:
-    """The lines of a page, fed to the parser in chunks; whatever is malformed is text."""
-    parser = Lines()
-    for i in range(0, len(html), CHUNK):
-        parser.feed(html[i : i + CHUNK])
-    parser.close()
-    parser.end_line()
-    return parser.lines
+    """The lines of a page, fed to the parser in chunks; whatever is malformed is text. A head
+    ends where something begins that can't stand in it; where other hidden elements are never
+    closed, scripts and styles apart, the page is read again with their text shown."""
+    shown: frozenset[int] = frozenset()
+    while True:
+        parser = Lines(shown)
+        for i in range(0, len(html), CHUNK):
+            parser.feed(html[i : i + CHUNK])
+        parser.close()
+        parser.end_line()
+        more = shown.union(n for n, tag in zip(parser.numbers, parser.hidden) if tag not in RAW and tag != "head")
+        if more == shown:
+            return parser.lines
+        shown = more
 
 
 def smoothed(ratios: np.ndarray, radius: int, sigma: float) -> np.ndarray:

@@ -312,6 +312,13 @@ def test_html_extraction():
     assert (lines, kept) == (len(html.lines_of(page)), text.count("\n") + 1)
 
 
+@pytest.mark.parametrize("start", ["<html><head><title>x</title>", "<head><meta charset=a><noscript><img></noscript>", "<body><noscript>", "<body><template>", "<body><svg><g>", "<svg><svg></svg>", "<head><noscript>"])
+def test_open_hidden_elements_do_not_hide_the_page(start):
+    assert "the text" in [t for t, _ in html.lines_of(start + "<p>the text<div>more</div>")]
+    assert [t for t, _ in html.lines_of("<svg><p>a</p></svg><head><title>b</title></head><p>c") if t] == ["c"]
+    assert [t for t, _ in html.lines_of("<head><title>b</title>some text") if t] == ["some text"]
+
+
 def test_html_chunks_do_not_matter(monkeypatch, spark, sf):
     pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").limit(20).collect()]
     whole = [html.extract_text(p) for p in pages]
