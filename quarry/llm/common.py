@@ -1,84 +1,22 @@
-"""What the operators share: the shared folder, written tables, shipped code."""
+"""What the operators share: columns by name, samples, workers that give memory back."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
 import gc
-import io
-import os
-import tempfile
-import uuid
-import zipfile
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED = "quarry.llm.shipped"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors reach: ``spark.checkpoint.dir``. Where it is unset, a
-    local session (tests) gets a folder of its own and any other one is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-
-
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """pyarrow's file system for a path or URI, and the path in it."""
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
-    if urlparse(path).scheme == "file":
-        return pafs.LocalFileSystem(), unquote(urlparse(path).path)
-    return pafs.FileSystem.from_uri(path)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` into the shared folder and reads it back, so that a lost
-    executor costs a read and not a new run of what came before."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..cluster import filesystem, materialize, shared_path, ship  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package's source to the Python workers, once a session."""
-    if spark.conf.get(_SHIPPED, "") == spark.sparkContext.applicationId:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for folder, _, files in os.walk(root):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    path = shared_path(spark, "source") + ".zip"
-    fs, at = filesystem(path)
-    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(at) as f:
-        f.write(buffer.getvalue())
-    spark.sparkContext.addPyFile(path)
-    spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that ``df`` doesn't have, whatever the case of its own."""
     taken = {c.lower() for c in df.columns}
@@ -97,6 +35,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def type_of(df: DataFrame, name: str) -> str:
+    """A column's type as workers' results state it."""
+    return df.select(col(name)).schema[0].dataType.simpleString()
+
+
 def text_of(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 
