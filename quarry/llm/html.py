@@ -9,9 +9,8 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import col, ship, tidy
+from .common import col, ship, text_of, tidy, type_of
 
 #: What ends a line, besides the source's own line ends.
 BREAKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li link main meta nav ol p pre section table tbody td tfoot th thead title tr ul".split())
@@ -21,8 +20,7 @@ HIDDEN = frozenset("head noscript script style svg template textarea title".spli
 IN_HEAD = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
 #: What hides the rest of a page if it isn't closed, as in browsers: the parser takes it as raw text.
 RAW = frozenset("script style".split())
-SCHEMA = "page_id long, text string, lines int, kept int"
-_ARROW = pa.schema([("page_id", pa.int64()), ("text", pa.string()), ("lines", pa.int32()), ("kept", pa.int32())])
+COLUMNS = "text string, lines int, kept int"
 #: Characters that the parser gets at a time.
 CHUNK = 1 << 16
 
@@ -150,11 +148,13 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(i, 256)
             rows = [extract_text(h) for h in part.column(1).to_pylist()]
             texts, lines, kept = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(texts, pa.string()), pa.array(lines, pa.int32()), pa.array(kept, pa.int32())], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int32()), pa.array(kept, pa.int32())], names=["page_id", "text", "lines", "kept"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``page_id, text, lines, kept`` for each row. Null and empty pages give an empty text of
-    0 lines; null ids and repeated rows are rows like any other."""
+    """``page_id, text, lines, kept`` for each row; ids are of any type. Null and empty pages
+    give an empty text of 0 lines; null ids and repeated rows are rows like any other, an
+    empty table gives none; other columns are left out. Lines of one value are on one side of
+    the threshold, all kept where all are alike."""
     ship(pages.sparkSession)
-    return pages.select(col(id_col).cast("long").alias("page_id"), F.coalesce(col(html_col), F.lit("")).alias("html")).mapInArrow(tidy(_run), SCHEMA)
+    return pages.select(col(id_col).alias("page_id"), text_of(html_col).alias("html")).mapInArrow(tidy(_run), f"page_id {type_of(pages, id_col)}, {COLUMNS}")
