@@ -77,7 +77,8 @@ def read_member(f: pa.NativeFile, m: Member) -> bytes:
     f.seek(m.offset + 30 + n_name + n_extra)
     data = f.read(m.packed)
     if m.method == 8:
-        data = zlib.decompress(data, -15)
+        engine = zlib.decompressobj(-15)
+        data = engine.decompress(data, m.size + 1)  # no more than a byte over what it should be
     elif m.method:
         raise ValueError(f"compression method {m.method} is not known")
     if len(data) != m.size or zlib.crc32(data) != m.crc:
@@ -108,36 +109,51 @@ class ArchiveReader(DataSourceReader):
             out += [Range(x.path, x.size, x.size * i // parts, x.size * (i + 1) // parts) for i in range(parts)]
         return out
 
+    def again(self, work, reopen):
+        """(result, error) of ``work(file)``, tried ``retries`` times more on a file opened anew."""
+        error = None
+        for attempt in range(self.retries + 1):
+            try:
+                return work(reopen(attempt > 0)), None
+            except (OSError, ValueError, EOFError, zlib.error, struct.error) as e:
+                error = f"{type(e).__name__}: {e}"[:200]
+                if attempt < self.retries:
+                    time.sleep(0.01 * 2**attempt)
+        return None, error
+
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
         """The members that start in the range, by offset. A member that fails is read anew,
         from its own offset, ``retries`` times; then its payload is null and its error says
-        why, and the others are unaffected."""
+        why, and the others are unaffected. An archive whose directory can't be read is one
+        row with an error, from its first range."""
         if partition is None:  # a folder without archives
             return
-        fs, _ = filesystem(self.path)
-        name = partition.path.rsplit("/", 1)[-1]
-        rows, held = [], 0
-        with fs.open_input_file(partition.path) as f:
-            members = read_directory(f, partition.size)
-        f = fs.open_input_file(partition.path)
+        fs, root = filesystem(self.path)
+        name = partition.path.removeprefix(root.rstrip("/") + "/")
+        held: list = [None]
+
+        def reopen(anew: bool):
+            if held[0] is None or anew:
+                if held[0] is not None:
+                    held[0].close()
+                held[0] = fs.open_input_file(partition.path)
+            return held[0]
+
+        members, error = self.again(lambda f: read_directory(f, partition.size), reopen)
+        if members is None:
+            if partition.low == 0:
+                yield _batch([(name, None, None, None, None, error)])
+            return
+        rows, bytes_held = [], 0
         for m in sorted((m for m in members if partition.low <= m.offset < partition.high and not m.name.endswith("/")), key=lambda m: m.offset):
-            payload = error = None
-            for attempt in range(self.retries + 1):
-                try:
-                    payload, error = read_member(f, m), None
-                    break
-                except (OSError, ValueError, zlib.error, struct.error) as e:
-                    error = f"{type(e).__name__}: {e}"[:200]
-                    if attempt < self.retries:
-                        time.sleep(0.01 * 2**attempt)
-                        f.close()
-                        f = fs.open_input_file(partition.path)
+            payload, error = self.again(lambda f, m=m: read_member(f, m), reopen)
             rows.append((name, m.name, m.offset, m.size, payload, error))
-            held += len(payload or b"")
-            if held >= self.batch:
+            bytes_held += len(payload or b"")
+            if bytes_held >= self.batch:
                 yield _batch(rows)
-                rows, held = [], 0
-        f.close()
+                rows, bytes_held = [], 0
+        if held[0] is not None:
+            held[0].close()
         if rows:
             yield _batch(rows)
 
@@ -184,7 +200,7 @@ def _write(folder: str):
 
 def write_archives(df: DataFrame, member, payload, folder: str | None = None) -> str:
     """Writes a ZIP file a partition into a folder that all executors share and returns the
-    folder. A task writes under a name of its attempt and renames it when complete, so a
+    folder. Repeated names are members of their own. A task writes under a name of its attempt and renames it when complete, so a
     repeated attempt replaces the same archive. Rows of a null payload or name are left out.
     """
     spark = df.sparkSession
@@ -198,9 +214,11 @@ def write_archives(df: DataFrame, member, payload, folder: str | None = None) ->
 
 
 def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """Columns ``archive, member, offset, size, payload, error``. Repeated member names are
-    rows of their own; an empty payload is empty and not null; a folder without archives
-    gives an empty table."""
+    """Columns ``archive, member, offset, size, payload, error``; archive is the path below the
+    folder. Repeated member names are rows of their own; an empty payload is empty and not
+    null; a folder without archives gives an empty table. A member that is broken, or inflates
+    to more than its stated size, and an archive without a readable directory have an error and
+    no payload. A member is held in memory as a whole, so the largest must fit a worker."""
     ship(spark)
     spark.dataSource.register(ArchiveSource)
     return spark.read.format("quarry_archive").options(**{k: str(v) for k, v in options.items()}).load(folder)
@@ -208,7 +226,9 @@ def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 def page_media(pages: DataFrame) -> DataFrame:
     """The bodies of ``pages`` as members of archives, read back: ``page_id, size,
-    payload_md5, kind, error``. Kind is told from the payload's first bytes."""
+    payload_md5, kind, error``. Kind is told from the payload's first bytes. Null pages and null
+    ids are left out, repeated rows are members each, an empty table gives no rows; other
+    columns are left out."""
     folder = write_archives(pages, F.concat(col("page_id").cast("string"), F.lit(".html")), col("html"))
     got = read_archives(pages.sparkSession, folder)
     head = F.lower(F.decode(F.substring("payload", 1, 14), "ISO-8859-1"))
