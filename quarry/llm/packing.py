@@ -73,6 +73,20 @@ def placements(patterns) -> list[tuple[int, int, int, int, int, int, int]]:
     return rows
 
 
+def in_blocks(rows, histogram: dict[int, int]) -> list[tuple[int, tuple[int, ...]]]:
+    """(ranks in a block, (length, block, first rank, ...)): each placement under every block of its
+    length's ranks that it reaches into. A length has as many blocks as placements, so a rank
+    meets few of them and the table is at most twice as long."""
+    of: dict[int, int] = defaultdict(int)
+    for r in rows:
+        of[r[0]] += 1
+    out = []
+    for length, low, high, *rest in rows:
+        size = -(-histogram[length] // of[length])
+        out += [(size, (length, block, low, high, *rest)) for block in range(low // size, (high - 1) // size + 1)]
+    return out
+
+
 def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """Places every document into packs of ``capacity`` tokens.
 
@@ -83,7 +97,8 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
 
     tokens: the length of a row, words of its text unless given. Null and empty texts have
     no tokens: one row of 0 tokens whose pack_id, slot and pack_offset are null. Repeated
-    rows are packed each on its own, null ids too. Ties in length are broken by the rank.
+    rows are packed each on its own, null ids too. Ties in length are broken by the rank. An
+    empty table gives no rows; other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     length = F.coalesce(n_words(text_of(text_col)) if tokens is None else tokens, F.lit(0)).cast("long")
@@ -96,17 +111,19 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
     full = pieces.where("piece_tokens > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", F.lit(17)), F.lit(buckets)))
     counts = materialize(full.groupBy("piece_tokens", "bucket").agg(F.count("*").alias("n")), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("piece_tokens").agg(F.sum("n")).collect()}  # at most `capacity` rows
-    rows = placements(shortest_pack_first(histogram, capacity))
-    places = spark.createDataFrame(rows, "piece_tokens int, low long, high long, run int, base long, first_slot int, first_offset int")
+    rows = in_blocks(placements(shortest_pack_first(histogram, capacity)), histogram)
+    places = spark.createDataFrame([r for _, r in rows], "piece_tokens int, block long, low long, high long, run int, base long, first_slot int, first_offset int")
     if len(rows) <= BROADCAST_ROWS:
         places = F.broadcast(places)
+    sizes = F.broadcast(spark.createDataFrame(sorted({(r[0], size) for size, r in rows}), "piece_tokens int, block_size long"))  # at most `capacity` rows
 
     before = Window.partitionBy("piece_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("piece_tokens", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("piece_tokens", "bucket").orderBy("doc_id", "piece")
     ranked = full.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["piece_tokens", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     nth = F.col("rank") - F.col("low")
-    placed = ranked.join(places, "piece_tokens").where("rank >= low and rank < high").select(
+    ranked = ranked.join(sizes, "piece_tokens").withColumn("block", F.floor(F.col("rank") / F.col("block_size")))
+    placed = ranked.join(places, ["piece_tokens", "block"]).where("rank >= low and rank < high").select(
         "doc_id", "piece", "piece_start", "piece_tokens",
         (F.col("base") + F.floor(nth / F.col("run"))).cast("long").alias("pack_id"),
         (F.col("first_slot") + nth % F.col("run")).cast("int").alias("slot"),
