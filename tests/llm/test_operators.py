@@ -77,6 +77,19 @@ def test_packing_places_every_token_once(spark, sf):
         assert [x[1] for x in p] == [sum(y[2] for y in p[:i]) for i in range(len(p))] and p[-1][1] + p[-1][2] <= 512
 
 
+def test_placements_cover_each_rank_once():
+    rng = random.Random(8)
+    histogram = Counter(rng.randint(1, 64) for _ in range(3000))
+    rows = packing.placements(packing.shortest_pack_first(histogram, 64))
+    blocks = packing.in_blocks(rows, histogram)
+    assert len(blocks) <= 2 * len(rows) + len(histogram)
+    found = Counter()
+    for size, (length, block, low, high, *_) in blocks:
+        for rank in range(max(low, block * size), min(high, (block + 1) * size)):
+            found[length, rank] += 1
+    assert found == Counter({(n, r): 1 for n, k in histogram.items() for r in range(k)})
+
+
 def test_packing_of_awkward_rows(spark):
     rows = packing.pack(awkward(spark), capacity=1000).collect()
     assert sorted(r["doc_id"] for r in rows if r["pack_id"] is None) == [1, 2, 3]
@@ -107,6 +120,26 @@ def test_fisher_yates_is_uniform():
     assert sharding.fisher_yates(0, 1, 1).tolist() == [] and sharding.fisher_yates(1, 1, 1).tolist() == [0]
 
 
+def test_repeated_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAST_COPIES", 20)
+    monkeypatch.setattr(sharding, "BLOCK", 64)
+    d = spark.createDataFrame([(i if i % 3 else 0, "x" * 50, {"a": i if i % 3 else 0}) for i in range(3000)], "doc_id long, text string, m map<string,int>")
+    out = sharding.shuffled(d, bucket_bytes=12_000, most_hot=100)
+    rows = out.collect()
+    assert Counter((r["doc_id"], r["text"], r["m"]["a"]) for r in rows) == Counter((r["doc_id"], r["text"], r["m"]["a"]) for r in d.collect())
+    copies, every = Counter(r["shard"] for r in rows if r["doc_id"] == 0), Counter(r["shard"] for r in rows)
+    assert len(every) > 10 and max(copies.values()) < 3 * 1000 / len(every) and max(every.values()) < 2 * 3000 / len(every)
+    again = sharding.shuffled(d.repartition(5), bucket_bytes=12_000, most_hot=100).collect()
+    assert sorted((r["shard"], r["position"], r["doc_id"]) for r in rows) == sorted((r["shard"], r["position"], r["doc_id"]) for r in again)
+
+
+def test_scatter_is_uniform(spark):
+    out = sharding.shuffled(spark.range(20_000).withColumn("text", F.lit("y" * 92)), bucket_bytes=108 * 20_000 // 16)
+    n = [r["count"] for r in out.groupBy("shard").count().collect()]
+    expected = 20_000 / len(n)
+    assert len(n) >= 16 and sum((x - expected) ** 2 / expected for x in n) < 2.5 * len(n)  # chi squared
+
+
 def test_sharding_of_awkward_rows(spark):
     d = awkward(spark)
     out = sharding.shuffled(d, bucket_bytes=1000)
@@ -196,11 +229,12 @@ def slow_spans(turns, render):
 @pytest.mark.parametrize("name", sorted(chat.TEMPLATES))
 def test_chat_spans_equal_brute_force(spark, sf, name):
     render = chat.TEMPLATES[name]
-    conversations = {}
+    conversations = {-1: [("user", "end"), ("im", "<|im_end|>"), ("user", "user"), ("user", "<"), ("assistant", "im"), ("system", "s")]}
+    table = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame([(-1, i, *t) for i, t in enumerate(conversations[-1])], "conv_id long, turn long, role string, text string"))
     for r in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect():
         conversations.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
     got = {}
-    for r in chat.format_chats(spark.read.parquet(f"{sf}/conversations.parquet"), {name: render}).orderBy("turn").collect():
+    for r in chat.format_chats(table, {name: render}).orderBy("turn").collect():
         got.setdefault(r["conv_id"], []).append(r)
     for conv, turns in conversations.items():
         want = slow_spans(turns, render)
@@ -208,12 +242,39 @@ def test_chat_spans_equal_brute_force(spark, sf, name):
         for k, r in enumerate(got[conv]):
             if r["text_start"] is not None:
                 assert render(turns[: k + 1])[r["text_start"] : r["text_stop"]] == turns[k][1]
+            if name == "chatml" and turns[k][1]:
+                assert r["text_start"] == r["start"] + len("<|im_start|>") + len(turns[k][0]) + 1
 
 
 def test_rewriting_templates_are_found():
     turns = [("system", "be kind"), ("user", "hi"), ("assistant", "yo"), ("user", "more")]
-    assert [s[4] for s in chat.spans(turns, chat.system_in_last_user)] == [False, False, False, True]
-    assert not any(s[4] for s in chat.spans(turns, chat.chatml))
+    assert [s.rewrites for s in chat.spans(turns, chat.system_in_last_user)] == [False, False, False, True]
+    assert not any(s.rewrites for s in chat.spans(turns, chat.chatml))
+
+
+def test_places_of_texts():
+    at = lambda turns, render=chat.chatml: chat.spans(turns, render)[-1][2:4]
+    assert at([("user", "end")]) == (17, 20) and at([("user", "im")]) == (17, 19) and at([("user", "")]) == (None, None)
+    assert at([("user", " a ")], lambda t: "".join(f"[{x.strip()}]" for _, x in t)) == (None, None)  # changed
+    assert at([("user", "a")], lambda t: "".join(f"[{x}|{x}]" for _, x in t)) == (3, 4)  # twice: the last
+    assert at([("u", "x"), ("u", "[")], lambda t: "[" * 3 + "".join(x for _, x in t)) == (4, 5)
+    assert at([("user", chat.mark_for([]))]) == (17, 17 + len(chat.mark_for([])))
+
+
+def test_templates_that_refuse(spark):
+    def strict(turns):
+        if not turns:
+            raise ValueError("no turns")
+        if any(r == "tool" for r, _ in turns[-1:]):
+            raise KeyError("tool")
+        return "".join(f"<{r}>{t}" for r, t in turns)
+
+    got = chat.spans([("user", "a"), ("tool", "b"), ("user", "c")], strict)
+    assert got[0][:5] == (0, 7, 6, 7, False) and got[1].start is None and "tool" in got[1].error
+    assert got[2][:5] == (7, 21, 20, 21, False)
+    df = spark.createDataFrame([("c1", 0, "user", "a"), ("c1", 1, "tool", "b")], "conv_id string, turn long, role string, text string")
+    rows = chat.format_chats(df, {"strict": strict}).orderBy("turn").collect()
+    assert [r["conv_id"] for r in rows] == ["c1", "c1"] and [r["error"] is None for r in rows] == [True, False]
 
 
 def test_chat_of_awkward_rows(spark):
@@ -319,6 +380,36 @@ def test_open_hidden_elements_do_not_hide_the_page(start):
     assert [t for t, _ in html.lines_of("<head><title>b</title>some text") if t] == ["some text"]
 
 
+def slow_extract(page, radius=2, sigma=1.0):
+    """Lines, ratios, smoothing and the choice of lines once more, number by number."""
+    lines = html.lines_of(page)
+    if not lines:
+        return "", 0, 0
+    logs = [math.log(1 + len(t) / (n if n > 0 else 1)) for t, n in lines]
+    smooth = []
+    for i in range(len(logs)):
+        near = [(math.exp(-((j - i) ** 2) / (2 * sigma * sigma)), logs[j]) for j in range(len(logs)) if abs(i - j) <= radius]
+        smooth.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+    cut = (min(smooth) + max(smooth)) / 2
+    for _ in range(100):
+        high, low = [x for x in smooth if x > cut], [x for x in smooth if x <= cut]
+        if not high or not low:
+            break
+        new = (sum(high) / len(high) + sum(low) / len(low)) / 2
+        if abs(new - cut) <= 1e-9 * max(abs(new), abs(cut)):
+            break
+        cut = new
+    kept = [t for (t, _), x in zip(lines, smooth) if t and (x > cut or abs(x - cut) < 1e-9)]
+    return "\n".join(kept), len(lines), len(kept)
+
+
+def test_html_text_equals_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("page_id", F.concat(F.lit("p"), "page_id")).withColumn("text", F.lit(1))
+    want = {r["page_id"]: slow_extract(r["html"]) for r in pages.collect()}
+    got = {r["page_id"]: (r["text"], r["lines"], r["kept"]) for r in html.extract(pages).collect()}
+    assert got == want and any(k for _, _, k in got.values())
+
+
 def test_html_chunks_do_not_matter(monkeypatch, spark, sf):
     pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").limit(20).collect()]
     whole = [html.extract_text(p) for p in pages]
@@ -491,9 +582,22 @@ def test_order_of_rules_changes_nothing(spark, sf):
     results = [sorted((r["doc_id"], r["k"]["keep"]) for r in quality.judged(d, "k", order=o).collect()) for o in orders]
     assert results[0] == results[1]
     plan = quality.plan_cascade(d)
-    assert {r.name for r, _, _ in plan} == {r.name for r in quality.RULES}
-    rates = [share / cost for _, cost, share in plan]
-    assert rates == sorted(rates, reverse=True)
+    assert {r.name for r, _, _ in plan} == {r.name for r in quality.RULES} and all(cost > 0 for _, cost, _ in plan)
+    assert plan[0][2] / plan[0][1] == max(share / cost for _, cost, share in plan)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_next_rule_rejects_most_of_what_is_left(seed):
+    rng = random.Random(seed)
+    costs = [rng.random() + 0.01 for _ in range(4)]
+    rows = [rng.randrange(16) for _ in range(50)]
+    order = quality.by_rejection_per_cost(costs, Counter(rows))
+    assert sorted(order) == [0, 1, 2, 3]
+    left = rows
+    for k, i in enumerate(order):
+        merit = lambda j: sum(m >> j & 1 for m in left) / costs[j]  # noqa: B023, E731
+        assert merit(i) == max(merit(j) for j in order[k:])
+        left = [m for m in left if not m >> i & 1]
 
 
 def test_quality_agrees_with_labels(spark):
@@ -540,6 +644,33 @@ def test_a_broken_member_fails_alone(spark, tmp_path):
     assert [r["member"] for r in rows if r["error"]] == ["m4"] and sum(r["payload"] is not None for r in rows) == 9
 
 
+def test_a_broken_archive_is_one_row(spark, tmp_path):
+    import zipfile
+
+    for name in ("a", "b/a", "c"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("m", name.encode())
+    path = tmp_path / "c.zip"
+    path.write_bytes(path.read_bytes()[:-30])
+    (tmp_path / "empty.zip").write_bytes(b"")
+    rows = {r["archive"]: r for r in media.read_archives(spark, str(tmp_path), retries=1, partitionBytes=20).collect()}
+    assert set(rows) == {"a.zip", "b/a.zip", "c.zip", "empty.zip"} and bytes(rows["b/a.zip"]["payload"]) == b"b/a" and rows["a.zip"]["error"] is None
+    assert rows["c.zip"]["payload"] is None and rows["c.zip"]["error"] and rows["empty.zip"]["error"]
+
+
+def test_payloads_over_their_stated_size_are_refused(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("m", b"0" * 1_000_000)
+    with pa.OSFile(str(tmp_path / "a.zip")) as f:
+        (m,) = media.read_directory(f, (tmp_path / "a.zip").stat().st_size)
+        assert len(media.read_member(f, m)) == 1_000_000
+        with pytest.raises(ValueError):
+            media.read_member(f, m._replace(size=10))
+
+
 def test_members_are_retried_from_their_offset(tmp_path, monkeypatch):
     import zipfile
 
