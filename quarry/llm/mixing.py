@@ -149,7 +149,8 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, budget: int |
     c_tokens, c_key, c_cell, c_use = fresh(docs, "tokens", "members", "cell", "use")
     member = F.sort_array(F.array_distinct(default_members() if members is None else members))
     keyed = docs.withColumns({c_tokens: n_words(text_of(text_col)).cast("long"), c_key: member, c_cell: F.shiftrightunsigned(F.xxhash64(col(id_col), F.lit(seed)), 52).cast("int")})
-    cells = materialize(keyed.where(f"{c_tokens} > 0 and size({c_key}) > 0").groupBy(F.col(c_key).alias("members"), F.col(c_cell).alias("cell")).agg(F.sum(c_tokens).alias("tokens")), "cells")
+    slim = materialize(keyed.select(col(id_col).alias("doc_id"), c_tokens, c_key, c_cell).where(f"{c_tokens} > 0 and size({c_key}) > 0"), "counted")  # words are counted once
+    cells = materialize(slim.groupBy(F.col(c_key).alias("members"), F.col(c_cell).alias("cell")).agg(F.sum(c_tokens).alias("tokens")), "cells")
     found = sorted(((tuple(r[0]), r[1]) for r in cells.groupBy("members").agg(F.sum("tokens")).collect()), key=lambda x: x[0])  # a row a pattern
 
     by_source: dict[str, int] = {}
@@ -180,7 +181,8 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, budget: int |
     by_pattern = cuts.groupBy("members").agg(F.sort_array(F.collect_list(F.struct("use", "source", "low", "high"))).alias("uses"))
     by_pattern = materialize(by_pattern.select(F.col("members").alias(c_key), F.col("uses").alias(c_use)), "uses")
     small = F.broadcast(by_pattern) if len(found) < 20_000 else by_pattern
-    chosen = keyed.where(f"{c_tokens} > 0").join(small, c_key).withColumn(c_use, F.explode(F.filter(F.col(c_use), lambda u: F.col(c_cell).between(u["low"], u["high"]))))
+    uses = F.explode(F.filter(F.col(c_use), lambda u: F.col(c_cell).between(u["low"], u["high"])))
     if rows:
-        return chosen.select(*[col(c) for c in docs.columns])
-    return chosen.select(col(id_col).alias("doc_id"), F.col(c_use)["source"].alias("source"), F.col(c_use)["use"].alias("use"), F.col(c_tokens).alias("tokens"))
+        return keyed.where(text_of(text_col).rlike(r"\S")).join(small, c_key).withColumn(c_use, uses).select(*[col(c) for c in docs.columns])
+    chosen = slim.join(small, c_key).withColumn(c_use, uses)
+    return chosen.select("doc_id", F.col(c_use)["source"].alias("source"), F.col(c_use)["use"].alias("use"), F.col(c_tokens).alias("tokens"))
