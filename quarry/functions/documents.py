@@ -7,9 +7,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+
 
 def get_path(value, path: str):
     """The value at a dotted path; null where the path leaves the objects."""
@@ -48,6 +50,8 @@ def merge(old: dict, patch: dict) -> dict:
 
 def merge_json(body: Column, patches: Column) -> Column:
     """``body`` with an array of patches applied in order, all JSON texts."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
 
     @F.pandas_udf("string")
     def run(bodies: pd.Series, many: pd.Series) -> pd.Series:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from .text import chunks
 
 #: What models of a family expect before a query and before a passage.
@@ -45,5 +46,6 @@ def embed(df: DataFrame, key: str, text: Column, make_encoder: Callable[[], Enco
                 some = pdf.iloc[i : i + batch]
                 yield pd.DataFrame({"key": some["key"], "chunk": some["chunk"], "embedding": encoder([prefix + t for t in some["text"]])})
 
+    ship(df.sparkSession)
     kind = dict(df.dtypes)[key]
     return parts.mapInPandas(run, f"key {kind}, chunk int, embedding array<float>").withColumnRenamed("key", key)

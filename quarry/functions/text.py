@@ -9,8 +9,22 @@ from pyspark.sql import functions as F
 
 SPLIT = r"[^\p{L}\p{N}]+"
 _PY_SPLIT = re.compile(r"[^\w]+|_+")
-#: Suffixes by length that a light stemmer takes off, English first.
+#: Suffixes that the English stemmer replaces first.
 _SUFFIXES = (("ies", "y"), ("sses", "ss"), ("xes", "x"), ("ches", "ch"), ("shes", "sh"))
+#: What light stemmers of other languages take off: the first suffix that a word has, if three
+#: letters stay. Endings of number, gender and case; words of other languages are their own stems.
+LIGHT = {
+    "german": (("ern", ""), ("em", ""), ("en", ""), ("er", ""), ("es", ""), ("e", ""), ("n", ""), ("s", "")),
+    "french": (("aux", "al"), ("ées", "é"), ("ée", "é"), ("és", "é"), ("es", ""), ("s", ""), ("x", ""), ("e", "")),
+    "spanish": (("ces", "z"), ("es", ""), ("os", ""), ("as", ""), ("o", ""), ("a", ""), ("e", ""), ("s", "")),
+    "italian": (("chi", "c"), ("ghi", "g"), ("che", "c"), ("ghe", "g"), ("i", ""), ("e", ""), ("o", ""), ("a", "")),
+    "portuguese": (("ões", "ão"), ("ães", "ão"), ("ais", "al"), ("es", ""), ("os", ""), ("as", ""), ("o", ""), ("a", ""), ("s", "")),
+    "dutch": (("heden", "heid"), ("en", ""), ("s", ""), ("e", "")),
+    "swedish": (("orna", ""), ("arna", ""), ("erna", ""), ("ar", ""), ("er", ""), ("or", ""), ("en", ""), ("et", ""), ("a", ""), ("e", "")),
+}
+ENGLISH = "english"
+#: Letters of a stem that a light stemmer leaves at least.
+LEAST_STEM = 3
 
 
 def tokens(text: Column) -> Column:
@@ -22,8 +36,13 @@ def python_tokens(text: str) -> list[str]:
     return [t for t in _PY_SPLIT.split(text.lower()) if t]
 
 
-def stem(token: str) -> str:
-    """A light stem: plural, past and continuous forms fall together."""
+def stem(token: str, language: str = ENGLISH) -> str:
+    """A light stem: in English plural, past and continuous forms fall together, in others LIGHT."""
+    if language != ENGLISH:
+        for end, new in LIGHT.get(language, ()):
+            if token.endswith(end) and len(token) - len(end) >= LEAST_STEM:
+                return token[: len(token) - len(end)] + new
+        return token
     for end, new in _SUFFIXES:
         if token.endswith(end) and len(token) > len(end) + 1:
             return token[: -len(end)] + new
@@ -36,9 +55,14 @@ def stem(token: str) -> str:
     return token
 
 
-def stem_expr(token: Column) -> Column:
+def stem_expr(token: Column, language: str = ENGLISH) -> Column:
     """:func:`stem` as an expression; the two agree on every token."""
     n = F.length(token)
+    if language != ENGLISH:
+        out = token
+        for end, new in reversed(LIGHT.get(language, ())):
+            out = F.when(token.endswith(end) & (n - len(end) >= LEAST_STEM), F.concat(F.substring(token, F.lit(1), n - len(end)), F.lit(new))).otherwise(out)
+        return out
     out = F.when(token.endswith("s") & ~token.endswith("ss") & ~token.endswith("us") & ~token.endswith("is") & (n > 3), F.substring(token, F.lit(1), n - 1)).otherwise(token)
     for end in ("ed", "ing"):
         k = len(end)

@@ -40,11 +40,11 @@ def field_stats(index: Index) -> DataFrame:
         else:
             out.append(row(docs, f.path, f.kind, n))
     for path in index.texts:
-        terms = index.postings.where(F.col("field") == path).agg(F.count_distinct("term").alias("terms"))
+        terms = index.postings.where((F.col("field") == path) & ~F.col("stemmed")).agg(F.count_distinct("term").alias("terms"))
         size = index.lengths.where(F.col("field") == path).crossJoin(terms)
         out.append(row(size, path, "text", keys=F.first("terms"), average=F.avg("len")))
-    for f in index.vectors.values():
-        out.append(row(index.docs.where(f.column.isNotNull()), f.path, "vector"))
+    for path, rows in index.vector_rows().items():
+        out.append(row(rows.where("embedding is not null"), path, "vector"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import python_tokens, stem
+from ..functions.text import ENGLISH, python_tokens, stem
 from ..plans.params import Request
 from ..sources.index import Index
 
@@ -16,22 +16,22 @@ K, B = 1.2, 0.75
 EXACT_BOOST = 1.5
 
 
-def query_tokens(term: str, exact: bool) -> list[str]:
+def query_tokens(term: str, exact: bool, language: str = ENGLISH) -> list[str]:
     """The words of a query, each followed by its stem unless only exact words count; a query
     without words has the one token that is empty."""
     out = []
     for t in python_tokens(term):
         out.append(t)
-        if not exact and stem(t) != t:
-            out.append(stem(t))
+        if not exact and stem(t, language) != t:
+            out.append(stem(t, language))
     return list(dict.fromkeys(out)) or [""]
 
 
 def matches(token: str, exact: bool, tolerance: int | None, term: str = "term") -> Column:
     """Whether a term of the vocabulary answers a token: equal, beginning with it, or, with a
-    tolerance, no more edits away than that."""
+    tolerance, no more edits away than that; a tolerance of 0 asks for the term itself."""
     c = F.col(term)
-    if exact:
+    if exact or tolerance == 0:
         return c == F.lit(token)
     if tolerance:
         near = F.length(c).between(len(token) - tolerance, len(token) + tolerance) & (F.levenshtein(c, F.lit(token), tolerance) >= 0)
@@ -58,15 +58,19 @@ def text_scores(index: Index, request: Request, allowed: DataFrame | None = None
     and terms, is S of a token in a document; its document frequency is that among the
     documents ``allowed`` by the filter, N that of the index; the score is the sum over
     tokens of idf * (k + 1) * S / (k + S). Documents must match at least
-    floor(tokens * threshold) tokens.
+    floor(tokens * threshold) tokens. Unless only exact words count, words are also found by
+    their stem. Sums are of doubles in any order: scores agree to some twelve digits, and
+    scores that agree to six decimals are ties.
     """
     fields = properties_of(index, request.properties)
-    tokens = query_tokens(request.term, request.exact)
+    tokens = query_tokens(request.term, request.exact, index.language)
     if tokens == [""]:
         none = index.docs.select("ord", F.lit(1.0).alias("score")).limit(0)
         return none if request.exact else match_all(index, fields, allowed)
     conditions = [matches(t, request.exact, request.tolerance) for t in tokens]
     hits = index.postings.where(F.col("field").isin(fields)).where(reduce(lambda a, b: a | b, conditions))
+    if request.exact:
+        hits = hits.where("not stemmed")
     if allowed is not None:
         hits = hits.join(allowed, "ord", "left_semi")
     weight = F.lit(1.0)
@@ -74,9 +78,10 @@ def text_scores(index: Index, request: Request, allowed: DataFrame | None = None
         average = index.average_lengths.get(f) or 1.0
         boost = float(request.boost.get(f, 1.0))
         weight = F.when(F.col("field") == f, boost * F.col("tf") / (1 - B + B * F.col("len") / average)).otherwise(weight)
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("token"), F.when(F.col("term") == t, EXACT_BOOST if not request.exact else 1.0).otherwise(1.0).alias("x"))) for i, (t, c) in enumerate(zip(tokens, conditions))]))
+    itself = lambda t: (F.col("term") == t) & ~F.col("stemmed")
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("token"), F.lit(1.0).alias("x") if request.exact else F.when(itself(t), EXACT_BOOST).otherwise(1.0).alias("x"))) for i, (t, c) in enumerate(zip(tokens, conditions))]))
     per_hit = hits.select("ord", weight.alias("ntf"), F.explode(found).alias("m")).select("ord", F.col("m.token").alias("token"), (F.col("ntf") * F.col("m.x")).alias("ntf"))
-    s = per_hit.groupBy("token", "ord").agg(F.sum("ntf").alias("s")).where("s > 1.2e-38")
+    s = per_hit.groupBy("ord", "token").agg(F.sum("ntf").alias("s")).where("s > 1.2e-38")
     df = s.groupBy("token").agg(F.count("*").alias("df"))  # a row a token of the query
     idf = F.log1p((index.count - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = s.join(F.broadcast(df), "token").groupBy("ord").agg(F.sum(idf * (K + 1) * F.col("s") / (K + F.col("s"))).alias("score"), F.bit_or(F.expr("shiftleft(1L, token)")).alias("mask") if len(tokens) < 64 else F.count_distinct("token").alias("n"))

@@ -23,8 +23,9 @@ def nearest(vectors: DataFrame, query: list[float], k: int | None = None, simila
 
 def fused(text: DataFrame, vector: DataFrame) -> DataFrame:
     """Both kinds of scores, each divided by the greatest of all (the least counts as 0 or
-    less), added up by document."""
+    less), added up by document. Both are read once: the sums and the ends share an exchange."""
     both = text.select("ord", "score").unionByName(vector.select("ord", "score"))
-    ends = both.agg(F.least(F.min("score"), F.lit(0.0)).alias("low"), F.greatest(F.max("score"), F.lit(0.0)).alias("high"))  # one row
-    scaled = (F.col("score") - F.coalesce("low", F.lit(0.0))) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    return both.crossJoin(F.broadcast(ends)).groupBy("ord").agg(F.sum(F.coalesce(scaled, F.lit(0.0))).alias("score"))
+    sums = both.groupBy("ord").agg(F.sum("score").alias("total"), F.count("*").alias("parts"), F.min("score").alias("least"), F.max("score").alias("most"))
+    ends = sums.agg(F.least(F.min("least"), F.lit(0.0)).alias("low"), F.greatest(F.max("most"), F.lit(0.0)).alias("high"))  # one row
+    scaled = (F.col("total") - F.col("parts") * F.coalesce("low", F.lit(0.0))) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    return sums.crossJoin(F.broadcast(ends)).select("ord", F.coalesce(scaled, F.lit(0.0)).alias("score"))

@@ -73,6 +73,7 @@ class Request:
     group_sort: tuple[str, str] | None = None
     user_id: str | None = None
     vector: list[float] | None = None
+    metrics: bool = False
 
     @classmethod
     def of(cls, json: dict) -> Request:
@@ -102,7 +103,7 @@ class Request:
             limit=json.get("limit", 10), offset=json.get("offset", 0), boost=dict(json.get("boost") or {}), properties=props,
             where=dict(json.get("where") or {}), facets=dict(json.get("facets") or {}), indexes=list(json.get("indexes") or []) or None,
             sort_by=sort or None, group_by=list(group["properties"]) if group else None, group_max=group.get("max_results", 1),
-            user_id=json.get("userID"), vector=json.get("vector"),
+            user_id=json.get("userID"), vector=json.get("vector"), metrics=bool(json.get("metrics", False)),
         )
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 import pandas as pd
@@ -12,22 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cluster import ship
 from ..functions import dates
 from ..functions.documents import json_path, leaves
-from ..functions.text import explicit_enum, length_gate, stem_expr, tokens
+from ..functions.text import ENGLISH, explicit_enum, length_gate, stem_expr, tokens
 
 #: Fields that are never searched.
 RESERVED = ("id", "_omc")
+POSTINGS = "field string, ord long, term string, tf long, len int, stemmed boolean"
+LENGTHS = "field string, ord long, len int"
 
 
 @dataclass(frozen=True)
 class Field:
-    """kind: bool, number, date, string, geo (filters), text or vector (scores)."""
+    """kind: bool, number, date, string, geo (filters), text or vector (scores).
+
+    raw, admits: the column that a string's values are taken from, and whether a value is kept;
+    integral: a number column of whole numbers; whole: its whole numbers, null for others.
+    """
 
     path: str
     kind: str
     array: bool
     column: Column
+    raw: Column | None = None
+    admits: Callable[[str], bool] | None = None
+    integral: bool = False
+    whole: Column | None = None
 
 
 @dataclass
@@ -41,13 +52,20 @@ class Strategy:
     def apply(self, value: Column) -> Column:
         return explicit_enum(value) if self.explicit else length_gate(value, 1, self.longest)
 
+    def field(self, path: str, array: bool, value: Column) -> Field:
+        """A string field; where it is plain, equality can be asked of the column itself."""
+        kept = F.transform(value, self.apply) if array else self.apply(value)
+        if array or self.explicit:
+            return Field(path, "string", array, kept)
+        return Field(path, "string", False, kept, value, lambda x: 1 <= len(x.encode()) <= self.longest)
+
 
 @dataclass
 class Index:
     """docs: a row a document with ``ord`` (its place, which breaks ties), ``id`` and the
     columns that the fields refer to. Postings, lengths and statistics derive from it;
     :meth:`write` makes them tables, sorted by term so that a search reads only the row
-    groups of its terms."""
+    groups of its terms. vector_tables: ``ord, embedding`` by name, a row a vector."""
 
     name: str
     docs: DataFrame
@@ -56,29 +74,36 @@ class Index:
     vectors: dict[str, Field] = field(default_factory=dict)
     multiplier: Column | None = None
     body: Column | None = None
-    stems: bool = True
+    language: str = ENGLISH
     postings_table: DataFrame | None = None
     lengths_table: DataFrame | None = None
+    vector_tables: dict[str, DataFrame] = field(default_factory=dict)
+    known: dict | None = None
 
     @cached_property
     def count(self) -> int:
-        return self.docs.count()
+        return self.known["count"] if self.known else self.docs.count()
 
     @cached_property
     def postings(self) -> DataFrame:
-        """field, ord, term, tf, len: how often a term, or another word with that stem
-        (``stemmed``), is in a field of ``len`` tokens."""
+        """field, ord, term, tf, len, stemmed: how often a term is in a field of ``len`` tokens,
+        and in rows of their own (stemmed) how often words are that have it as their stem."""
         if self.postings_table is not None:
             return self.postings_table
         out = None
         for f in self.texts.values():
             words = F.flatten(F.transform(f.column, tokens)) if f.array else tokens(f.column)
-            t = self.docs.select(F.lit(f.path).alias("field"), "ord", words.alias("w")).withColumn("len", F.size("w"))
-            t = t.select("field", "ord", "len", F.explode("w").alias("term")).groupBy("field", "ord", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+            t = self.docs.select(F.lit(f.path).alias("field"), "ord", words.alias("w")).withColumn("len", F.size("w")).select("field", "ord", "len", F.explode("w").alias("word"))
+            t = t.groupBy("field", "ord", "word").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
             out = t if out is None else out.unionByName(t)
         if out is None:
-            return self.docs.sparkSession.createDataFrame([], "field string, ord long, term string, tf long, len int, stem string")
-        return out.withColumn("stem", stem_expr(F.col("term")) if self.stems else F.col("term"))
+            return self.docs.sparkSession.createDataFrame([], POSTINGS)
+        stem = stem_expr(F.col("word"), self.language)
+        both = F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("stemmed")), F.when(stem != F.col("word"), F.struct(stem.alias("term"), F.lit(True).alias("stemmed"))))
+        rows = out.select("field", "ord", "tf", "len", F.explode(F.array_compact(both)).alias("t")).select("field", "ord", "t.term", "tf", "len", "t.stemmed")
+        # Words of one stem are few; plain rows need no sum, so only the others are grouped.
+        plain, stems = rows.where("not stemmed"), rows.where("stemmed").groupBy("field", "ord", "term").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"), F.lit(True).alias("stemmed"))
+        return plain.unionByName(stems)
 
     @cached_property
     def lengths(self) -> DataFrame:
@@ -90,22 +115,31 @@ class Index:
             n = F.size(F.flatten(F.transform(f.column, tokens)) if f.array else tokens(f.column))
             t = self.docs.select(F.lit(f.path).alias("field"), "ord", n.alias("len")).where("len > 0")
             out = t if out is None else out.unionByName(t)
-        return self.docs.sparkSession.createDataFrame([], "field string, ord long, len int") if out is None else out
+        return self.docs.sparkSession.createDataFrame([], LENGTHS) if out is None else out
 
     @cached_property
     def average_lengths(self) -> dict[str, float]:
+        if self.known:
+            return {k: total / n for k, (n, total) in self.known["lengths"].items() if n}
         return {r[0]: float(r[1]) for r in self.lengths.groupBy("field").agg(F.avg("len")).collect()}  # a row a field
 
     def vocabulary(self) -> DataFrame:
         """field, term, df."""
-        return self.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+        return self.postings.where("not stemmed").groupBy("field", "term").agg(F.count("*").alias("df"))
+
+    def vector_rows(self) -> dict[str, DataFrame]:
+        """``ord, embedding`` of each vector field."""
+        return {**{f.path: self.docs.select("ord", f.column.alias("embedding")) for f in self.vectors.values()}, **self.vector_tables}
+
+    def write_postings(self, path: str) -> None:
+        self.postings.repartitionByRange(F.col("term")).sortWithinPartitions("term", "field", "ord").write.mode("overwrite").parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     def write(self, path: str) -> Index:
         """The same index on written tables."""
         spark = self.docs.sparkSession
-        self.postings.repartitionByRange(F.col("term")).sortWithinPartitions("term", "field", "ord").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        return Index(self.name, self.docs, self.filters, self.texts, self.vectors, self.multiplier, self.body, self.stems, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        self.write_postings(path)
+        return replace(self, postings_table=spark.read.schema(POSTINGS).parquet(f"{path}/postings"), lengths_table=spark.read.schema(LENGTHS).parquet(f"{path}/lengths"))
 
 
 def _walk(schema: T.StructType, prefix: str = "") -> Iterator[tuple[str, T.DataType]]:
@@ -138,7 +172,7 @@ def _at(path: str) -> Column:
     return out
 
 
-def from_table(name: str, df: DataFrame, key: str, order: str | None = None, texts: list[str] | None = None, strategy: Strategy | None = None, multiplier: str | None = None) -> Index:
+def from_table(name: str, df: DataFrame, key: str, order: str | None = None, texts: list[str] | None = None, strategy: Strategy | None = None, multiplier: str | None = None, language: str = ENGLISH) -> Index:
     """An index over a typed table. key: the id; order: a column of whole numbers that says
     in which order documents came, the key unless given. texts: string columns to search,
     all unless given. Arrays of floats are vectors."""
@@ -158,13 +192,12 @@ def from_table(name: str, df: DataFrame, key: str, order: str | None = None, tex
         if kind is None or (array and kind in ("geo", "date")):
             continue
         if kind == "string":
-            value = F.transform(column, strategy.apply) if array else strategy.apply(column)
-            filters[path] = Field(path, kind, array, value)
+            filters[path] = strategy.field(path, array, column)
             if texts is None or path in texts:
                 text_fields[path] = Field(path, "text", array, column)
         else:
-            filters[path] = Field(path, kind, array, column)
-    return Index(name, docs, filters, text_fields, vectors, F.col(multiplier).cast("double") if multiplier else None, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+            filters[path] = Field(path, kind, array, column, integral=isinstance(inner, T.IntegralType))
+    return Index(name, docs, filters, text_fields, vectors, F.col(multiplier).cast("double") if multiplier else None, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), language)
 
 
 def infer_kind(value) -> str | None:
@@ -188,6 +221,7 @@ def infer_kind(value) -> str | None:
 def infer_schema(docs: DataFrame) -> dict[str, str]:
     """Path to kind of JSON documents (``ord``, ``body``); the first document that has a path
     decides. Each partition finds its own firsts; the least of them is taken."""
+    ship(docs.sparkSession)
 
     def run(batches):
         first: dict[str, tuple[int, str]] = {}
@@ -206,38 +240,77 @@ def infer_schema(docs: DataFrame) -> dict[str, str]:
 _JSON_TYPES = {"bool": ("boolean", "BOOLEAN"), "number": ("double", "BIGINT|DOUBLE|DECIMAL"), "string": ("string", "STRING"), "date": ("string", "STRING")}
 
 
-def from_json(name: str, docs: DataFrame, strategy: Strategy | None = None, schema: dict[str, str] | None = None) -> Index:
-    """An index over JSON documents: ``ord`` long, ``id`` string, ``body`` string. A value of
+def typed_columns(schema: dict[str, str]) -> dict[str, str]:
+    """The columns of :func:`typed` and their types. Columns are numbered in the order that paths
+    came in, so that later paths never change those of earlier ones."""
+    out = {}
+    for i, (path, kind) in enumerate(schema.items()):
+        if path in RESERVED:
+            continue
+        plain = kind.removesuffix("[]")
+        if plain == "geo":
+            out[f"f{i}"] = "struct<lat:double,lon:double>"
+            continue
+        out[f"f{i}"] = f"array<{_JSON_TYPES[plain][0]}>" if kind.endswith("[]") else _JSON_TYPES[plain][0]
+        if kind == "number":
+            out[f"w{i}"] = "bigint"
+        elif kind == "date":
+            out[f"d{i}"] = "timestamp"
+    return {**out, "_omc": "double"}
+
+
+def typed(docs: DataFrame, schema: dict[str, str], body: str = "body") -> DataFrame:
+    """``docs`` with a column f0, f1, ... for each path of its JSON ``body``, a w0, ... for the
+    whole numbers among numbers, a d0, ... for the moments of dates, and ``_omc``. A value of
     another type than its path has counts as missing."""
-    strategy = strategy or Strategy()
-    schema = infer_schema(docs) if schema is None else schema
-    base = docs.withColumn("v", F.parse_json("body"))
-    columns, filters, texts = {}, {}, {}
-    for i, (path, kind) in enumerate(sorted(schema.items())):
+    columns = {}
+    for i, (path, kind) in enumerate(schema.items()):
         if path in RESERVED:
             continue
-        c, where = f"f{i}", json_path(path)
+        where = json_path(path)
         array = kind.endswith("[]")
         kind = kind.removesuffix("[]")
         if kind == "geo":
-            columns[c] = F.when(F.try_variant_get("v", where + "['lat']", "double").isNotNull(), F.struct(F.try_variant_get("v", where + "['lat']", "double").alias("lat"), F.try_variant_get("v", where + "['lon']", "double").alias("lon")))
-            filters[path] = Field(path, "geo", False, F.col(c))
+            lat, lon = (F.try_variant_get("v", where + f"['{k}']", "double") for k in ("lat", "lon"))
+            columns[f"f{i}"] = F.when(lat.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
             continue
         t, names = _JSON_TYPES[kind]
         shape = F.schema_of_variant(F.try_variant_get("v", where, "variant"))
         if array:
-            columns[c] = F.when(shape.rlike(f"^ARRAY<({names})"), F.try_variant_get("v", where, f"array<{t}>"))
-        else:
-            columns[c] = F.when(shape.rlike(f"^({names})"), F.try_variant_get("v", where, t))
-        value = F.col(c)
+            columns[f"f{i}"] = F.when(shape.rlike(f"^ARRAY<({names})"), F.try_variant_get("v", where, f"array<{t}>"))
+            continue
+        value = F.when(shape.rlike(f"^({names})"), F.try_variant_get("v", where, t))
+        columns[f"f{i}"] = value
+        if kind == "number":
+            columns[f"w{i}"] = F.when(shape == "BIGINT", F.try_variant_get("v", where, "bigint"))
+        elif kind == "date":
+            columns[f"d{i}"] = dates.lenient(value)
+    omc = F.try_variant_get("v", "$['_omc']", "double")
+    return docs.withColumn("v", F.parse_json(body)).withColumns({**columns, "_omc": F.when(omc > 0, omc)}).drop("v")
+
+
+def typed_index(name: str, rows: DataFrame, schema: dict[str, str], strategy: Strategy | None = None, language: str = ENGLISH, **tables) -> Index:
+    """An index over what :func:`typed` makes."""
+    strategy = strategy or Strategy()
+    filters, texts = {}, {}
+    for i, (path, kind) in enumerate(schema.items()):
+        if path in RESERVED:
+            continue
+        array = kind.endswith("[]")
+        kind = kind.removesuffix("[]")
+        value = F.col(f"f{i}")
         if kind == "date":
-            filters[path] = Field(path, "date", False, dates.lenient(value))
+            filters[path] = Field(path, "date", False, F.col(f"d{i}"))
         elif kind == "string":
-            filters[path] = Field(path, "string", array, F.transform(value, strategy.apply) if array else strategy.apply(value))
+            filters[path] = strategy.field(path, array, value)
         else:
-            filters[path] = Field(path, kind, array, value)
+            filters[path] = Field(path, kind, array, value, whole=F.col(f"w{i}") if kind == "number" and not array else None)
         if kind in ("string", "date"):
             texts[path] = Field(path, "text", array, value)
-    omc = F.try_variant_get("v", "$['_omc']", "double")
-    rows = base.withColumns({**columns, "_omc": F.when(omc > 0, omc)}).drop("v")
-    return Index(name, rows, filters, texts, {}, F.col("_omc"), F.col("body"))
+    return Index(name, rows, filters, texts, {}, F.col("_omc"), F.col("body"), language, **tables)
+
+
+def from_json(name: str, docs: DataFrame, strategy: Strategy | None = None, schema: dict[str, str] | None = None, language: str = ENGLISH) -> Index:
+    """An index over JSON documents: ``ord`` long, ``id`` string, ``body`` string."""
+    schema = dict(sorted(infer_schema(docs).items())) if schema is None else schema
+    return typed_index(name, typed(docs, schema), schema, strategy, language)

@@ -19,6 +19,8 @@ def test_numbers():
     assert one("between 10 and 20 kg and over 5") == [("between", 10, 20, "weight")]
     assert one("$50-$150") == [("between", 50, 150, "price")]
     assert one("exactly 3") == [("eq", 3, None, None)]
+    assert one("at most fifty euros, score over 1,250.5") == [("lte", 50, None, "price"), ("gte", 1250.5, None, "rating")]
+    assert one("budget of 2k") == [("lte", 2000, None, "price")] and [x[:2] for x in one("no less than 7 and no  more than 9")] == [("gte", 7), ("lte", 9)]
 
 
 def test_enums_and_booleans():
@@ -39,10 +41,12 @@ def test_match_inject_missing():
     assert c.missing({"or": [{"color": "x"}, {"in_stock": True}]}, got, fields)[0].op == "lte"
     assert 'full_price <= 50 (from "under $50")' in c.describe(got, fields)
     assert c.shared_budget("shirt and shoes, budget of $500 for both") and not c.shared_budget("under $5")
+    shares = c.split_budget("a shirt and shoes, at most $100 for both", ["price"], [1, 2])
+    assert [(x.query_index, x.budget_cap, x.field) for x in shares] == [(0, 33.33, "price"), (1, 66.67, "price")] and c.split_budget("under $5", ["price"], [1]) == []
 
 
 def test_table_agrees_with_python(spark):
-    queries = ["under $50 or over 3", "between 10 and 20", "$5-$9 exactly 7", "nothing", None, "max 5 min 2 exactly 1.5"]
+    queries = ["under $50 or over 3", "between 10 and 20", "$5-$9 exactly 7", "nothing", None, "max 5 min 2 exactly 1.5", "at most fifty or 1.5k", "from $1,000 to $2k, from 1000 to 2000"]
     rows = c.numeric_table(spark.createDataFrame([(q,) for q in queries], "q string"), "q").collect()
     for q, r in zip(queries, rows):
         assert [(x["op"], x["value"], x["upper"]) for x in r["constraints"]] == [(x.op, x.value, x.upper) for x in c.numeric_constraints(q or "")]
@@ -84,6 +88,11 @@ def test_stems_agree(spark):
     rows = spark.createDataFrame([(w,) for w in words], "w string").select(stem_expr(F.col("w")).alias("s")).collect()
     assert [r["s"] for r in rows] == [stem(w) for w in words]
     assert stem("foxes") == "fox" and stem("running") == "run"
+    words = "chats chevaux grandes ai Häuser kindern casas luces gatti amiche ai corações heden bilarna x".split()
+    for language in ("german", "french", "spanish", "italian", "portuguese", "dutch", "swedish", "other"):
+        rows = spark.createDataFrame([(w,) for w in words], "w string").select(stem_expr(F.col("w"), language).alias("s")).collect()
+        assert [r["s"] for r in rows] == [stem(w, language) for w in words]
+    assert stem("chevaux", "french") == "cheval" and stem("felices", "spanish") == "feliz" and stem("ai", "italian") == "ai"
 
 
 def test_embedding_batches(spark):

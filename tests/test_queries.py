@@ -10,9 +10,8 @@ def test_query_equals_its_sql(spark, sf, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_query_runs(spark, sf, name):
-    assert catalogue.QUERIES[name](spark, sf).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
 def test_entry(spark):
