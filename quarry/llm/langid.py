@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,36 +12,49 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ship, text_of, tidy
-from .words import LETTERS, VALUES, WORDS, U, binary, chunks, powers, words_of
+from .common import col, ship, text_of, tidy, type_of
+from .words import KIND, SHOWN, VALUES, U, binary, chunks, powers, words_of
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bytes of the longest piece, and of the longest word that is scored among others.
-PIECE, WORD = 16, 48
+#: Bytes of the longest unit. Longer runs, as of scripts without spaces, are several units.
+WORD = 32
 SPACE = 32
-_SCHEMA = pa.schema([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("words", pa.int64()), ("accepted", pa.bool_())])
-OUT = "lang string, score double, margin double, words long, accepted boolean"
+#: Share of a text that may be foreign to its language: names, numbers, keys.
+NOISE = 0.05
+#: Standard deviations that a text may fall below its language's own held-out texts of its length,
+#: and the share of their median that is enough at any length.
+SIGMAS, SHARE = 4.0, 1 / 4
+#: Lengths in words at which held-out texts calibrate; between them the next shorter one counts.
+LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
+_SCHEMA = pa.schema([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("evidence", pa.float64()), ("words", pa.int64()), ("accepted", pa.bool_())])
+OUT = "lang string, score double, margin double, evidence double, words long, accepted boolean"
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """The pieces that can occur in a lower-case word after a space, and every single byte.
-    In each a space stands only at the beginning."""
+    """All pieces of a vocabulary, in the order of their ranks, and what bytes it lacks."""
     with open(path, "rb") as f:
-        found = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-    allowed = set(LETTERS[LETTERS > 0].tolist()) | {SPACE}
-    fits = {p for p in found if len(p) <= PIECE and set(p) <= allowed and SPACE not in p[1:] and not any(65 <= b <= 90 for b in p)}
-    return sorted(fits | {bytes([b]) for b in allowed})
+        ranked = sorted((int(rank), base64.b64decode(piece)) for piece, rank in (line.split() for line in f if line.strip()))
+    pieces = [p for _, p in ranked]
+    return pieces + [bytes([b]) for b in range(256) if bytes([b]) not in set(pieces)]
+
+
+def background(pieces: int) -> np.ndarray:
+    """Probabilities of the pieces in text of any language: by Zipf's law of their ranks, which are
+    those of their frequency in the many languages that the vocabulary is of."""
+    p = 1.0 / (100.0 + np.arange(pieces))
+    return p / p.sum()
 
 
 def spelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`words_of` for runs of letters; those with a digit in them (keys, numbers, dates)
-    say nothing of a language and are left out."""
-    data, start, stop, hashes, first = words_of(texts, WORDS)
+    """:func:`words_of` for all that is shown: runs of letters and digits, and runs of other signs."""
+    return words_of(texts, SHOWN, KIND, WORD)
+
+
+def worded(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which units are words: of letters, without a digit. Signs, numbers and keys are of no language."""
     digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
-    plain = digits[stop] == digits[start]
-    before = np.concatenate(([0], np.cumsum(plain)))
-    return data, start[plain], stop[plain], hashes[plain], before[first]
+    return (digits[stop] == digits[start]) & (KIND[data[start]] == 1)
 
 
 class Vocabulary:
@@ -49,7 +63,7 @@ class Vocabulary:
     BITS, MORE = 20, 17
 
     def __init__(self, pieces: list[bytes]):
-        self.pieces = pieces
+        self.pieces, self.longest = pieces, max(map(len, pieces))
         keys = np.array([self.key(p) for p in pieces], dtype=np.uint64)
         assert len(set(keys.tolist())) == len(keys)
         self.first_key, self.first_id = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
@@ -117,7 +131,7 @@ def arcs(words: np.ndarray, vocabulary: Vocabulary) -> list[tuple[int, int, np.n
     np.cumsum((VALUES[words] * p[:n]).T, axis=0, out=sums[1:])
     out = []
     for to in range(1, n + 1):
-        for at in range(max(0, to - PIECE), to):
+        for at in range(max(0, to - vocabulary.longest), to):
             rows, ids = vocabulary.find((sums[to] - sums[at]) * inverse[at])
             if len(rows):
                 out.append((at, to, rows, ids))
@@ -136,84 +150,99 @@ def forward(found, n: int, rows: int, p: np.ndarray) -> np.ndarray:
     return a
 
 
-def long_word(word: bytes, pieces: dict[bytes, int], p: np.ndarray) -> np.ndarray:
-    """Log-probability of a word of any length: the same sums, scaled as they go."""
-    word = b" " + word
-    held, scale = [np.ones(p.shape[1])], np.zeros(p.shape[1])
-    for to in range(1, len(word) + 1):
-        total = np.zeros(p.shape[1])
-        for n in range(1, min(PIECE, to) + 1):
-            i = pieces.get(word[to - n : to])
-            if i is not None:
-                total = total + held[-n] * p[i]
-        held.append(total)
-        held = held[-PIECE:]
-        if to % 8 == 0:
-            top = np.maximum(held[-1], 1e-300)
-            held = [h / top for h in held]
-            scale += np.log(top)
-    return np.log(held[-1]) + scale
-
-
 class Model:
-    """languages; p: probability of each piece by language; mean and sd of a word's
-    log-probability a byte in each language's own text."""
+    """languages; p: probability of each piece by language, and in the last column in any text
+    (:func:`background`); floors: least evidence a word by language and LENGTHS."""
 
-    def __init__(self, pieces: list[bytes], languages: list[str], p: np.ndarray, mean: np.ndarray, sd: np.ndarray):
-        self.vocabulary, self.index = Vocabulary(pieces), {x: i for i, x in enumerate(pieces)}
-        self.languages, self.p, self.mean, self.sd = languages, p, mean, sd
+    def __init__(self, pieces: list[bytes], languages: list[str], p: np.ndarray, floors: np.ndarray | None = None):
+        self.vocabulary, self.languages, self.p = Vocabulary(pieces), languages, p
+        self.floors = np.full((len(languages), len(LENGTHS)), -np.inf) if floors is None else floors
 
     def log_probabilities(self, data, start, stop) -> np.ndarray:
-        out = np.empty((len(start), len(self.languages)))
+        """Of each unit, after a space, in each language and in any."""
+        out = np.empty((len(start), self.p.shape[1]))
         for at, words in by_length(data, start, stop):
             for i in range(0, len(at), 20_000):
                 part = words[i : i + 20_000]
                 out[at[i : i + 20_000]] = np.log(forward(arcs(part, self.vocabulary), part.shape[1], len(part), self.p)[-1])
-        for i in np.flatnonzero(stop - start > WORD):
-            out[i] = long_word(data[start[i] : stop[i]].tobytes(), self.index, self.p)
         return out
 
-    def score(self, texts: list[bytes]) -> list[tuple]:
-        """A row of _SCHEMA a text."""
-        if not self.languages:
-            return [(None, None, None, 0, True)] * len(texts)
+    def units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log-probability by language of each unit, that in any text, its bytes and whether it is a
+        word, first unit of each text and the end). A word's in a language is that of its own
+        pieces, or with NOISE of any's; other units have that of any text in all languages."""
         data, start, stop, hashes, first = spelled(texts)
         if not len(start):
-            return [(None, None, None, 0, False)] * len(texts)
+            return np.zeros((0, len(self.languages))), np.zeros((0, 3)), first
         _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        log = self.log_probabilities(data, start[one], stop[one])
-        per_byte = log / (stop[one] - start[one] + 1)[:, None]
-        total = np.zeros((len(start) + 1, 2 * len(self.languages)))
-        np.cumsum(np.concatenate((log, per_byte), axis=1)[which], axis=0, out=total[1:])
-        sums = total[first[1:]] - total[first[:-1]]
+        start, stop = start[one], stop[one]
+        log, words = self.log_probabilities(data, start, stop), worded(data, start, stop)
+        mixed = np.where(words[:, None], np.logaddexp(log[:, :-1] + np.log1p(-NOISE), log[:, -1:] + np.log(NOISE)), log[:, -1:])
+        rest = np.stack((log[:, -1], stop - start + 1.0, words.astype(np.float64)), axis=1)
+        return mixed[which], rest[which], first
+
+    def score(self, texts: list[bytes]) -> list[tuple]:
+        """A row of _SCHEMA a text."""
+        if not self.languages:
+            return [(None, None, None, None, 0, True)] * len(texts)
+        log, rest, first = self.units(texts)
         k, out = len(self.languages), []
-        for n, row in zip(np.diff(first).tolist(), sums):
+        total = np.zeros((len(log) + 1, k + 3))
+        np.cumsum(np.concatenate((log, rest), axis=1), axis=0, out=total[1:])
+        for row in total[first[1:]] - total[first[:-1]]:
+            n = round(row[k + 2])
             if not n:
-                out.append((None, None, None, 0, False))
+                out.append((None, None, None, None, 0, False))
                 continue
             order = np.argsort(-row[:k], kind="stable")
-            best = order[0]
-            mean = row[k + best] / n
+            best = int(order[0])
             margin = float(row[best] - row[order[1]]) if k > 1 else float("inf")
-            floor = self.mean[best] - SLACK - SIGMAS * self.sd[best] / np.sqrt(n)
-            out.append((self.languages[best], float(mean), margin, n, bool(mean >= floor)))
+            evidence = float(row[best] - row[k]) / n
+            out.append((self.languages[best], float(row[best] / row[k + 1]), margin, evidence, n, bool(evidence >= self.floor(best, n))))
         return out
 
-
-#: A text is refused if its words' mean log-probability a byte is lower than its language's by
-#: SLACK and SIGMAS standard errors: it is in none of the languages known.
-SLACK, SIGMAS = 0.75, 6.0
+    def floor(self, language: int, n: int) -> float:
+        return self.floors[language, int(np.searchsorted(LENGTHS, n, side="right")) - 1]
+
+
+def floors(model: Model, held: dict[str, list[bytes]]) -> np.ndarray:
+    """The least evidence a word (by how much a language explains it better than :func:`background`)
+    that a text needs: SIGMAS standard deviations below the median of the held-out texts' blocks
+    of that many words, or SHARE of the median if that is less. The deviation is told from the
+    median and the sixth of the blocks below: passages in other languages, which some texts
+    have, don't widen it. Without 20 blocks those of the next shorter length count, at first none."""
+    out = np.full((len(model.languages), len(LENGTHS)), -np.inf)
+    for i, lang in enumerate(model.languages):
+        log, rest, first = model.units(held.get(lang, []))
+        words = rest[:, 2] > 0
+        each = (log[:, i] - rest[:, 0])[words]
+        first = np.concatenate(([0], np.cumsum(words)))[first]
+        for j, n in enumerate(LENGTHS):
+            blocks = [each[a : a + len(each[a:b]) // n * n].reshape(-1, n).mean(axis=1) for a, b in zip(first[:-1], first[1:])]
+            means = np.concatenate(blocks) if blocks else np.zeros(0)
+            if len(means) >= 20:
+                low, middle = np.quantile(means, (0.1587, 0.5))
+                out[i, j] = min(middle - SIGMAS * (middle - low), SHARE * middle)
+            elif j:
+                out[i, j] = out[i, j - 1]
+    return out
 
 
 def train(rows: list[tuple[str, bytes]], pieces: list[bytes], rounds: int = 4, smoothing: float = 0.5) -> Model:
     """Piece probabilities by expectation maximisation over all segmentations of each
-    language's words, from (language, lower-case text)."""
+    language's words, from (language, lower-case text). Of five texts one is held out and
+    calibrates how much evidence a text needs (:func:`floors`)."""
     vocabulary = Vocabulary(pieces)
     languages = sorted({lang for lang, _ in rows})
-    p, mean, sd = [], [], []
+    p, held = [], {}
     length = np.array([len(x) for x in pieces])
     for lang in languages:
-        data, start, stop, hashes, _ = spelled([t for x, t in rows if x == lang])
+        texts = sorted({t for x, t in rows if x == lang})
+        held[lang] = [t for t in texts if zlib.crc32(t) % 5 == 0]
+        texts = [t for t in texts if zlib.crc32(t) % 5] or texts
+        data, start, stop, hashes, _ = spelled(texts)
+        words = worded(data, start, stop)
+        start, stop, hashes = start[words], stop[words], hashes[words]
         _, one, counts = np.unique(hashes, return_index=True, return_counts=True)
         start, stop = start[one], stop[one]
         groups = [(at, w.shape[1], arcs(w, vocabulary)) for at, w in by_length(data, start, stop)]
@@ -233,12 +262,9 @@ def train(rows: list[tuple[str, bytes]], pieces: list[bytes], rounds: int = 4, s
             q = expected + smoothing / length
             q /= q.sum()
         p.append(q)
-        each = [np.log(forward(found, n, len(at), q[:, None])[-1, :, 0]) / n for at, n, found in groups]
-        many = [counts[at] for at, _, _ in groups]
-        x, m = (np.concatenate(each), np.concatenate(many)) if each else (np.zeros(1), np.ones(1))
-        mean.append(float(np.average(x, weights=m)))
-        sd.append(float(np.sqrt(np.average((x - mean[-1]) ** 2, weights=m))))
-    return Model(pieces, languages, np.array(p).T if p else np.zeros((len(pieces), 0)), np.array(mean), np.array(sd))
+    model = Model(pieces, languages, np.array([*p, background(len(pieces))]).T)
+    model.floors = floors(model, held)
+    return model
 
 
 def fit(docs: DataFrame, rows_each: int = 600, seed: int = 31, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tokenizers: str = TOKENIZERS) -> Model:
@@ -271,21 +297,26 @@ def _identify(model, texts: int):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, **options) -> DataFrame:
-    """``doc_id, lang, score, margin, words, accepted`` for each row.
-
-    lang: the language under which the text is most probable, summed over all segmentations
-    of its words into pieces; ties go to the first by name. score: mean log-probability a
-    byte of its words; margin: by how much the log-probability exceeds the next language's.
-    accepted: the score is not below what the language's own text has (SLACK, SIGMAS).
-    Null and empty texts, and those without letters, have no language and aren't accepted;
+    """``doc_id, lang, score, margin, evidence, words, accepted`` for each row; ids are of any type.
+
+    A text is in lower case and cut into units, runs of letters and digits and runs of other
+    signs, of WORD bytes at most, each after a space. lang: the language under which it is most
+    probable, summed over all segmentations of its units into pieces of the vocabulary, with
+    NOISE of anything; ties go to the first by name. score: mean log-probability a byte;
+    margin: by how much the log-probability exceeds the next language's; words: units of
+    letters alone, others having one probability in all languages; evidence: by how much the
+    log-probability of a word exceeds that in text of any language (:func:`background`).
+    accepted: the evidence is not below what held-out texts of the language have at that length
+    (:func:`floors`); a few words can't be told apart and are accepted.
+    Null and empty texts, and those without words, have no language and aren't accepted;
     where no row has a label all are accepted with a null language. Null ids and repeated
-    rows are rows like any other.
+    rows are rows like any other; an empty table gives none; other columns are left out.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(fit(docs, id_col=id_col, text_col=text_col, **options) if model is None else model)
-    texts = docs.select(col(id_col).cast("long").alias("doc_id"), F.lower(text_of(text_col)).alias("text"))
-    return texts.mapInArrow(tidy(_identify(shared, 1)), "doc_id long, " + OUT)
+    texts = docs.select(col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text"))
+    return texts.mapInArrow(tidy(_identify(shared, 1)), f"doc_id {type_of(docs, id_col)}, {OUT}")
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -303,7 +334,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         for batch in batches:
             text = [b"" if t is None else t for t in binary(pc.utf8_lower(batch.column(at)))]
             for low, high in chunks(text):
-                flags = [r[4] for r in shared.value.score(text[low:high])]
+                flags = [r[5] for r in shared.value.score(text[low:high])]
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(flags, pa.bool_())], names=[*batch.schema.names, "accepted"])
 

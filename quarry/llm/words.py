@@ -44,15 +44,31 @@ def table(keep) -> np.ndarray:
     return out
 
 
-#: For shingles: letters and digits. For languages: letters alone.
+#: Letters and digits.
 WORDS = table(str.isalnum)
-LETTERS = table(str.isalpha)
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, stops and hashes of the runs of bytes that aren't 0."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], data != 0, [0])).astype(np.int8)))
-    start, stop = edge[::2], edge[1::2]
+#: Every byte but white space and control characters: upper-case ASCII as lower case.
+SHOWN = np.array([0 if b <= 32 or b == 127 else ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
+#: What byte follows what in one unit: letters and digits, or other signs.
+KIND = np.array([0 if b <= 32 or b == 127 else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], np.int8)
+
+
+def word_spans(data: np.ndarray, kind: np.ndarray | None = None, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, stops and hashes of the runs of bytes that aren't 0, and that are of one kind if
+    kinds are given, 0 where there is no byte to be had. Runs of more than ``longest`` bytes are
+    several, each of so many but the last."""
+    kind = (data != 0).astype(np.int8) if kind is None else kind
+    padded = np.concatenate(([0], kind, [0]))
+    edge = np.flatnonzero(padded[1:] != padded[:-1])
+    start, stop = edge[:-1], edge[1:]
+    run = padded[start + 1] != 0
+    start, stop = start[run], stop[run]
+    if longest is not None and len(start) and (stop - start).max() > longest:
+        parts = -(-(stop - start) // longest)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.repeat(start, parts) + nth * longest
+        stop = np.minimum(start + longest, np.repeat(stop, parts))
     p, inverse = powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
@@ -72,10 +88,11 @@ def chunks(texts: list[bytes], size: int = 900_000) -> Iterator[tuple[int, int]]
         yield low, len(texts)
 
 
-def words_of(texts: list[bytes], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(texts: list[bytes], keep: np.ndarray, kinds: np.ndarray | None = None, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, stops, hashes, first word of each text and the end) of ``texts``, each a whole one."""
-    data = keep[np.frombuffer(b" ".join(texts), np.uint8)]
-    start, stop, hashes = word_spans(data)
+    raw = np.frombuffer(b" ".join(texts), np.uint8)
+    data = keep[raw]
+    start, stop, hashes = word_spans(data, None if kinds is None else kinds[raw], longest)
     ends = np.cumsum(np.array([len(t) + 1 for t in texts]))
     first = np.concatenate(([0], np.searchsorted(start, ends)))
     return data, start, stop, hashes, first

@@ -164,14 +164,41 @@ def tiny_model():
 
 def test_language_sums_all_segmentations():
     model, pieces = tiny_model()
-    for word in (b"the", b"chat", b"thethe", b"and", b"q"):
+    for word in (b"the", b"chat", b"thethe", b"and", b"q", b"thecat"):
         data = np.frombuffer(word, np.uint8)
         got = model.log_probabilities(data, np.array([0]), np.array([len(word)]))[0]
-        want = [math.log(all_segmentations(b" " + word, dict(zip(pieces, model.p[:, k])))) for k in range(2)]
-        assert np.allclose(got, want) and np.allclose(langid.long_word(word, model.index, model.p), want)
-    long = b"thecat" * 40
-    assert np.allclose(langid.long_word(long[:40], model.index, model.p), model.log_probabilities(np.frombuffer(long[:40], np.uint8), np.array([0]), np.array([40]))[0])
-    assert np.isfinite(langid.long_word(long, model.index, model.p)).all()
+        want = [math.log(all_segmentations(b" " + word, dict(zip(pieces, model.p[:, k])))) for k in range(3)]
+        assert np.allclose(got, want)
+
+
+def test_language_scores_equal_brute_force():
+    """Language, score, margin and evidence of whole texts, unit by unit, and EM's counts by all segmentations."""
+    model, pieces = tiny_model()
+
+    def paths(word):
+        return [[word[:n], *rest] for n in range(1, len(word) + 1) if word[:n] in pieces for rest in (paths(word[n:]) if word[n:] else [[]])]
+
+    texts = [b"the cat and", b"la chatte the", b"chat", b"a" * 70 + b" b"]
+    for text, row in zip(texts, model.score(texts)):
+        units = [u[i : i + langid.WORD] for u in text.split() for i in range(0, len(u), langid.WORD)]
+        if len(text) > 20:
+            assert row[4] == len(units)
+            continue
+        logs = np.array([[math.log(all_segmentations(b" " + u, dict(zip(pieces, model.p[:, k])))) for k in range(3)] for u in units])
+        sums = np.log((1 - langid.NOISE) * np.exp(logs[:, :2]) + langid.NOISE * np.exp(logs[:, 2:])).sum(axis=0)
+        best = int(np.argmax(sums))
+        want = (model.languages[best], sums[best] / sum(len(u) + 1 for u in units), sums[best] - sums[1 - best], (sums[best] - logs[:, 2].sum()) / len(units), len(units))
+        assert row[0] == want[0] and np.allclose(row[1:5], want[1:])
+    q = dict(zip(pieces, (x := (1.0 / len(pieces)) ** np.minimum([len(p) for p in pieces], 3)) / x.sum()))
+    expected = Counter()
+    for word in b"the cat and the dog sat there then".split():
+        each = [(math.prod(q[p] for p in path), path) for path in paths(b" " + word)]
+        for weight, path in each:
+            for p in path:
+                expected[p] += weight / sum(w for w, _ in each)
+    p = np.array([expected[x] + 0.5 / len(x) for x in pieces])
+    one = langid.train([("en", b"the cat and the dog sat there then")], pieces, rounds=1)
+    assert np.allclose(one.p[:, 0], p / p.sum())
 
 
 def test_vocabulary_finds_exactly_its_pieces():
@@ -191,15 +218,46 @@ def test_language_is_right_on_unseen_documents(spark):
     assert sum(r["accepted"] for r in rows) / len(rows) > 0.98
     key = spark.createDataFrame([(1, 'Est une avec token = "6cfd1f1f244d4c4c327ecfd8fd9898497c475388" pour les.')], "doc_id long, text string")
     assert langid.identify(key, model=model).first()["accepted"]
-    odd = spark.createDataFrame([(1, "zqxj wvkq pfzx qqzj vxkw zzqx jqvz xkqz wqxz kzvj " * 20)], "doc_id long, text string")
+    odd = spark.createDataFrame([("a", "zqxj wvkq pfzx qqzj vxkw zzqx jqvz xkqz wqxz kzvj " * 20)], "doc_id string, text string")
     assert not langid.identify(odd, model=model).first()["accepted"]
 
 
+FOREIGN = {
+    "it": "La mattina presto il vecchio pescatore usciva di casa e camminava lungo la riva del mare per vedere se le barche erano tornate dal largo",
+    "pt": "O menino correu pela rua e a sua vizinha viu o cachorro dormir ao sol perto da janela aberta da cozinha enquanto chovia na serra",
+    "nl": "De oude man liep elke ochtend langs het water om te kijken of de schepen al terug waren van zee met vis voor de markt",
+    "ru": "Старик каждое утро выходил из дома и шёл вдоль берега моря чтобы посмотреть вернулись ли лодки с уловом свежей рыбы для городского рынка",
+    "ja": "老人は毎朝家を出て海岸沿いを歩き、船が新鮮な魚を積んで戻ってきたかどうかを見に行きました。町の市場はいつも賑やかでした。" * 6,
+}
+
+
+def test_other_languages_are_refused():
+    """Foreign texts of some twenty words, and those of each language by models of the others."""
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "lang", "text"]).to_pylist() if r["text"]]
+    some, rest = [], []
+    n = Counter()
+    for r in rows:
+        n[r["lang"], r["doc_id"] % 2] += 1
+        if n[r["lang"], r["doc_id"] % 2] <= 250:
+            (some if r["doc_id"] % 2 else rest).append((r["lang"], r["text"].lower()))
+    pieces = langid.read_pieces(f"{langid.TOKENIZERS}/{langid.VOCABULARY}")
+    model = langid.train([(k, t.encode()) for k, t in some], pieces)
+    assert not any(r[5] for r in model.score([t.lower().encode() for t in FOREIGN.values()]))
+    own = model.score([t.encode() for _, t in rest])
+    assert np.mean([r[5] for r in own]) > 0.99 and np.mean([r[0] == k for r, (k, _) in zip(own, rest)]) > 0.98
+    for left in model.languages:
+        other = langid.train([(k, t.encode()) for k, t in some if k != left], pieces)
+        cut = [" ".join(t.split()[:25]).encode() for k, t in rest if k == left and len(t.split()) >= 25]
+        assert np.mean([r[5] for r in other.score(cut)]) < 0.15  # some texts of a language have passages of another
+
+
 def test_language_of_awkward_rows(spark):
     model = langid.fit(docs(spark, "/root/testdata/sf0.001"), rows_each=50)
     got = {r["doc_id"]: r for r in langid.identify(awkward(spark), model=model).collect()}
     assert [got[i]["lang"] for i in (1, 2, 3)] == [None] * 3 and not any(got[i]["accepted"] for i in (1, 2, 3))
-    assert got[4]["lang"] == "en" and got[5]["words"] == 60_001
+    assert got[4]["lang"] == "en" and got[5]["words"] == 60_157
     assert langid.identify(empty(spark)).count() == 0
     none = docs(spark, "/root/testdata/sf0.001").withColumn("lang", F.lit(None).cast("string"))
     assert langid.accepted(none).count() == none.count()
