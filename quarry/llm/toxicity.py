@@ -13,13 +13,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, hash_sample, ship, text_of, tidy
+from .common import col, hash_sample, ship, text_of, tidy, type_of
 
 #: Bytes of a window and of each dictionary's own content, of each pair of dictionaries that votes.
 VOTES = ((64, 700), (80, 700), (96, 700), (112, 700))
 LEVEL = 3
-#: A window's gain is cut to this range of bytes before it is added up.
-GAIN = 8
+#: A window counts if its gain is as high as that of at most this share of ordinary windows.
+WINDOW_RATE = 0.1
 #: Windows' worth of ordinary text that is added to a text, so that short ones aren't judged on luck.
 PRIOR = 4
 POOLED = ""
@@ -34,13 +34,17 @@ RATE = 10
 EVIDENCE = 5.0
 #: The lowest cut, however few ordinary texts calibrate it.
 LEAST_CUT = 2.0
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("windows", pa.int64()), ("score", pa.float64()), ("toxic", pa.bool_())])
+_COLUMNS = [("windows", pa.int64()), ("score", pa.float64()), ("toxic", pa.bool_())]
 
 
 class Vote(NamedTuple):
+    """A pair of dictionaries; least: bytes that it must save in a window that counts; mean, sd: of
+    the gains that count, 0 for other windows, in ordinary text."""
+
     ordinary: bytes
     toxic: bytes
     window: int
+    least: int = 1
     mean: float = 0.0
     sd: float = 1.0
 
@@ -89,13 +93,34 @@ def compressors(v: Vote) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompre
 
 
 def gains(text: str, pair, window: int) -> np.ndarray:
-    """Bytes that the toxic dictionary saves in each window over the ordinary one, from 0 to GAIN."""
+    """Bytes that the toxic dictionary saves in each window over the ordinary one; less than 0 where
+    the ordinary one saves more."""
     ordinary, toxic = pair[0].compress, pair[1].compress
-    return np.clip(np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text, window)], dtype=np.float64), 0, GAIN)
+    return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text, window)], dtype=np.int64)
+
+
+def counting(text: str, pair, v: Vote) -> np.ndarray:
+    """The gains of the windows that reach the calibrated threshold, 0 for the others."""
+    return over(gains(text, pair, v.window), v.least)
+
+
+def over(g: np.ndarray, least: int) -> np.ndarray:
+    return np.where(g >= least, g, 0).astype(np.float64)
+
+
+def threshold(found: list[np.ndarray], rate: float = WINDOW_RATE) -> int:
+    """The least gain that no more than ``rate`` of the windows reach."""
+    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+    if not len(flat):
+        return 1
+    values, n = np.unique(flat, return_counts=True)
+    reach = np.cumsum(n[::-1])[::-1] / len(flat)
+    fits = np.flatnonzero(reach <= rate)
+    return int(values[fits[0]]) if len(fits) else int(values[-1]) + 1
 
 
 def deviation(g: np.ndarray, mean: float, sd: float) -> float:
-    """How many standard deviations the windows' gains lie over ordinary text's."""
+    """How many standard deviations the gains that count lie over ordinary text's."""
     return float((g - mean).sum() / (sd * np.sqrt(len(g) + PRIOR)))
 
 
@@ -121,8 +146,8 @@ def judge(each: list[np.ndarray], m: Model) -> float:
 
 
 def score(text: str, m: Model, pairs) -> tuple[int, float]:
-    """(windows, what :func:`judge` says of the votes' gains)"""
-    each = [gains(text, p, v.window) for v, p in zip(m.votes, pairs)]
+    """(windows, what :func:`judge` says of those that count)"""
+    each = [counting(text, p, v) for v, p in zip(m.votes, pairs)]
     return len(each[0]), judge(each, m)
 
 
@@ -149,14 +174,13 @@ def _evidence(n: int, of: int, k: int, among: int) -> float:
     return log(n, of, n / of) - log(n, of, p) + (log(k, among, k / among) - log(k, among, p) if among else 0.0)
 
 
-def _novel(texts: list[str], known: Counter, of: int, words: int = 400) -> list[bytes]:
+def _novel(texts: list[str], known: Counter, of: int) -> list[bytes]:
     """What ``texts`` say more often than others, ``of`` texts of which ``known`` have each word:
-    runs of the words of most evidence, of which a share of the texts has RATE times that of the
-    others, these with half a text more."""
-    spread, support = _spread(texts), max(2, len(texts) // 200)
-    more = {w: n for w, n in spread.items() if n >= support and n / len(texts) >= RATE * (known[w] + 0.5) / (of + 1)}
-    found = {w: _evidence(n, len(texts), known[w], of) for w, n in more.items()}
-    use = set(sorted((w for w, x in found.items() if x >= EVIDENCE), key=lambda w: (-found[w], w))[:words])
+    runs of the words of EVIDENCE of which a share of the texts has RATE times that of the
+    others, these with half a text more. Neither words nor runs are limited in number."""
+    spread = _spread(texts)
+    more = {w: n for w, n in spread.items() if n / len(texts) >= RATE * (known[w] + 0.5) / (of + 1)}
+    use = {w for w, n in more.items() if _evidence(n, len(texts), known[w], of) >= EVIDENCE}
     out = []
     for t in texts:
         x = [w for w in t.lower().split() if w in use]
@@ -173,27 +197,27 @@ def _split(texts: list[str], salt: int, of: int, first: int) -> tuple[list[str],
 
 
 def train(ordinary: list[str], toxic: list[str], false_rate: float = 0.005, base_bytes: int = 30_000, votes=VOTES) -> Model:
-    """Both dictionaries of a pair begin with the same content, trained on part of the
-    ordinary texts, so that what they differ in is small; then each has content of its own,
-    trained on the words that toxic texts, or other ordinary ones, have more often than that part. Pairs of
-    different windows and parts vote. The cuts are such that ``false_rate`` of the ordinary
-    texts held out of all pairs exceed one: of the mean deviation of whole texts, and of the
-    best runs in them (:func:`run_cuts`)."""
+    """Both dictionaries of a pair begin with the same content, trained on all windows of part of
+    the ordinary texts, so that what they differ in is small; then each has content of its own,
+    trained on the words that toxic texts, or other ordinary ones, have more often than that
+    part. Pairs of different windows and parts vote. A window counts if the bytes that the toxic
+    dictionary saves reach a threshold calibrated on windows of the ordinary texts held out of
+    all pairs (:func:`threshold`). The cuts are such that ``false_rate`` of these texts exceed
+    one: of the deviation of whole texts, and of the best runs in them (:func:`run_cuts`)."""
     toxic = sorted(set(toxic))
     train_on, held = _split(sorted(set(ordinary)), 0, 5, 3)
     out, each = [], []
     for k, (window, own) in enumerate(votes):
         base, other = _split(train_on, k + 1, 3, 2)
-        pieces = [w for t in base for w in windows(t, window)]
-        order = np.random.default_rng(k).permutation(len(pieces))
-        shared = _trained([pieces[i] for i in order[:60_000]], base_bytes, 64, 8)
+        shared = _trained([w for t in base for w in windows(t, window)], base_bytes, 64, 8)
         known = _spread(base)
         v = Vote(shared + _trained(_novel(other, known, len(base)), own, 12, 6), shared + _trained(_novel(toxic, known, len(base)), own, 12, 6), window)
         pair = compressors(v)
         found = [gains(t, pair, window) for t in held]
+        v = v._replace(least=threshold(found))
+        found = [over(g, v.least) for g in found]
         flat = np.concatenate(found) if found else np.zeros(1)
-        v = v._replace(mean=float(flat.mean()), sd=float(flat.std()) or 1.0)
-        out.append(v)
+        out.append(v._replace(mean=float(flat.mean()), sd=float(flat.std()) or 1.0))
         each.append(found)
     if not held:
         return Model(out, float("inf"), {})
@@ -247,30 +271,33 @@ def _score(models):
         pairs = {k: [compressors(v) for v in m.votes] for k, m in value.items()}
         for batch in batches:
             out = []
-            for doc, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 key = lang if lang in value else POOLED
-                m = value[key]
-                n, s = score(text, m, pairs[key])
-                out.append((doc, n, s, n > 0 and s > 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 4, _SCHEMA)], schema=_SCHEMA)
+                n, s = score(text, value[key], pairs[key])
+                out.append((n, s, n > 0 and s > 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(list(zip(*out)) or [()] * 3, _COLUMNS))], names=["doc_id", *(n for n, _ in _COLUMNS)])
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, seed: int = 29, **options) -> DataFrame:
-    """``doc_id, windows, score, toxic`` for each row of ``docs``.
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """``doc_id, windows, score, toxic`` for each row of ``docs``; ids are of any type.
 
-    The dictionaries and cuts are trained on labelled documents (``labels``: doc_id, toxic),
+    The dictionaries and cuts are trained on labelled documents (``labels``: the id, toxic),
     at most about ``max_rows`` of either kind, by a seeded hash. Each window of a whole text
-    is compressed with both; a text is toxic if the gains of the whole, or of a run of windows
-    anywhere in it, are over their cut (a score over 1); see :func:`train` and :func:`judge`. A language with too few
-    labelled rows, or none (null), is judged by the model of all languages. Null and empty
-    texts have no windows, score 0 and aren't toxic; without labels nothing is toxic;
-    repeated rows and null ids are rows like any other.
+    is compressed with both; a text is toxic if the gains that count, of the whole or of a run of
+    windows anywhere in it, are over their cut (a score over 1); see :func:`train` and
+    :func:`judge`. A language with too few labelled rows, or none (null, or no
+    such column), is judged by the model of all languages. Null and empty texts have no windows,
+    score 0 and aren't toxic; without labels nothing is toxic; an id that is labelled twice is
+    toxic if one label says so; repeated rows and null ids are rows like any other; a score of
+    just 1 isn't toxic; an empty table gives no rows; other columns are left out.
     """
     spark = docs.sparkSession
     ship(spark)
-    known = labels.select(col("doc_id"), col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    lang = col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    rows_of = docs.select(col(id_col).alias("doc_id"), lang.alias("lang"), text_of(text_col).alias("text"))
+    known = labels.select(col(id_col).alias("doc_id"), col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     chosen = [hash_sample(known.where(F.col("toxic") == k), "doc_id", max_rows, seed, v) for k, v in n.items()]
     rows = []
@@ -279,10 +306,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, seed: int
         for x in chosen[1:]:
             some = some.unionByName(x)
         # About 2 * max_rows rows at most, however many are labelled.
-        found = docs.select(col("doc_id").alias("doc_id"), col("lang").cast("string").alias("lang"), text_of("text").alias("text")).join(F.broadcast(some), "doc_id")
-        rows = [(r[0], r[1], r[2]) for r in found.select("lang", "text", "toxic").collect()]
+        rows = [(r[0], r[1], r[2]) for r in rows_of.join(F.broadcast(some), "doc_id").select("lang", "text", "toxic").collect()]
     models = spark.sparkContext.broadcast(train_models(rows, **options))
-    return docs.select(col("doc_id").cast("long").alias("doc_id"), col("lang").cast("string").alias("lang"), text_of("text").alias("text")).mapInArrow(tidy(_score(models)), "doc_id long, windows long, score double, toxic boolean")
+    return rows_of.mapInArrow(tidy(_score(models)), f"doc_id {type_of(docs, id_col)}, windows long, score double, toxic boolean")
 
 
 def toxic_docs(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

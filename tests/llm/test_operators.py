@@ -409,8 +409,59 @@ def test_gains_equal_single_compressions():
         d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(w))
 
-    want = [min(max(size(a, w) - size(b, w), 0), toxicity.GAIN) for w in toxicity.windows(text, 32)]
-    assert toxicity.gains(text, toxicity.compressors(v), 32).tolist() == want
+    want = [size(a, w) - size(b, w) for w in toxicity.windows(text, 32)]
+    assert toxicity.gains(text, toxicity.compressors(v), 32).tolist() == want and max(want) > 0
+    assert toxicity.counting(text, toxicity.compressors(v), v._replace(least=3)).tolist() == [x if x >= 3 else 0 for x in want]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_thresholds_equal_counts(seed):
+    rng = random.Random(seed)
+    found = [np.array([rng.randint(-4, 6) for _ in range(rng.randint(0, 60))], np.int64) for _ in range(12)]
+    flat = [x for g in found for x in g.tolist()]
+    t = toxicity.threshold(found, 0.2)
+    share = lambda c: sum(x >= c for x in flat) / len(flat)
+    assert share(t) <= 0.2 and all(share(x) > 0.2 for x in flat if x < t)
+    assert toxicity.threshold([]) == 1
+
+
+def slow_judge(text, m):
+    """All windows and runs once more, one by one."""
+    import zstandard
+
+    def size(data, w):
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=toxicity.LEVEL)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(w))
+
+    saved = [[size(v.ordinary, w) - size(v.toxic, w) for w in toxicity.windows(text, v.window)] for v in m.votes]
+    hits = [[float(g) if g >= v.least else 0.0 for g in each] for each, v in zip(saved, m.votes)]
+    n = len(hits[0])
+    if not n:
+        return 0.0
+    deviation = lambda h, v, k: (sum(h) - len(h) * v.mean) / (v.sd * math.sqrt(k + toxicity.PRIOR))
+    scores = [np.mean([deviation(h, v, len(h)) for h, v in zip(hits, m.votes)]) / m.cut]
+    for run, cut in m.runs.items():
+        if n > run:
+            each = []
+            for h, v in zip(hits, m.votes):
+                k = min(len(h), max(1, round(run * m.votes[0].window / v.window)))
+                each.append(max(deviation(h[i : i + k], v, k) for i in range(len(h) - k + 1)))
+            scores.append(np.mean(each) / max(toxicity.LEAST_CUT, cut.at + cut.slope * math.log(n / cut.windows)))
+    return max(scores)
+
+
+def test_toxicity_equals_brute_force(spark):
+    """The whole operator on a small table against :func:`slow_judge`; ids are strings, other names."""
+    (ordinary, bad), (others, worse) = labelled_english()
+    texts = others[:25] + worse[:15] + ["", " ".join(others[:3]) + " " + worse[0]]
+    rows = [(f"t{i}", t) for i, t in enumerate(texts)] + [(f"o{i}", t) for i, t in enumerate(ordinary[:260])] + [(f"b{i}", t) for i, t in enumerate(bad[:60])]
+    labels = spark.createDataFrame([(i, int(i[0] == "b")) for i, _ in rows if i[0] != "t"], "key string, toxic int")
+    df = spark.createDataFrame(rows, "key string, body string")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(df, labels, id_col="key", text_col="body").collect()}
+    m = toxicity.train_models([(None, t, int(i[0] == "b")) for i, t in rows if i[0] != "t"])[toxicity.POOLED]
+    for i, t in rows[: len(texts)]:
+        assert got[i]["score"] == pytest.approx(slow_judge(t, m)) and got[i]["toxic"] == (got[i]["score"] > 1), i
 
 
 def test_toxicity_of_awkward_rows(spark, sf):
