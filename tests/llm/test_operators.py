@@ -631,6 +631,59 @@ def test_near_duplicates_connect_all_that_share_a_band(spark, monkeypatch, open_
     assert {r["doc_id"]: r["group_id"] for r in neardup.near_duplicates(d).collect()} == want
 
 
+def boilerplate(n, seed=5):
+    """Texts of which each has 60 of its 110 words in common with all, and some are alike."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(50)]
+        if i % 5 == 4:  # as the one before, but for some words
+            own = [w if rng.random() < 0.85 else f"v{rng.randrange(10**9)}" for w in rows[-1]["own"]]
+        rows.append({"doc_id": i * 7 % 1009, "text": " ".join(common + own), "family": 0, "own": own})
+    return rows
+
+
+@pytest.mark.parametrize("block", [200, 8])
+def test_hot_bands_are_decided_without_all_pairs(spark, monkeypatch, block):
+    """Documents that share bands by what all have: the similar ones among them are found by rare shingles."""
+    monkeypatch.setattr(neardup, "OPEN_PAIRS", 0)
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", block)
+    monkeypatch.setattr(neardup, "SAMPLED", 1)
+    monkeypatch.setattr(neardup, "HOT_SAMPLED", 4)
+    called = []
+    real = neardup.by_prefix
+    monkeypatch.setattr(neardup, "by_prefix", lambda *a: called.append(1) or real(*a))
+    monkeypatch.setattr(neardup, "_pairs", None)
+    rows = boilerplate(160)
+    want, close, _ = banded_groups(rows, neardup.THRESHOLD)
+    d = spark.createDataFrame([(str(r["doc_id"]), r["text"]) for r in rows], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(d).collect()}
+    assert called and close >= 20
+    by_text = lambda groups: sorted(sorted(int(k) for k in groups if groups[k] == g) for g in set(groups.values()))
+    found = by_text({k: r["group_id"] for k, r in got.items()})
+    assert all(any(set(w) <= set(f) for f in found) for w in by_text(want)) and all(r["links"] > 0 for r in got.values())
+    exact, _ = brute_groups([(r["doc_id"], r["text"]) for r in rows], neardup.THRESHOLD)
+    assert all(any(set(f) <= set(w) for w in by_text(exact)) for f in found)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_similar_sets_share_a_rare_shingle(seed):
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice("a b c d e f g h i j k l m n o p".split()) for _ in range(rng.randint(2, 40))) for _ in range(40)]
+    weights, sets = weights_of(texts)
+    levels = [weights.levels(x) for x in sets]
+    rare = [set(neardup.prefix(x, weights.log_idf[neardup.cells(x[0])], 0.4).tolist()) for x in levels]
+    close = [(i, j) for i, j in itertools.combinations(range(40), 2) if neardup.weighted_jaccard(levels[i], levels[j]) >= 0.4]
+    assert all(rare[i] & rare[j] for i, j in close) and sum(map(len, rare)) < sum(len(x[0]) for x in levels)
+
+
+def test_repeated_ids_have_their_greatest_text(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    d = spark.createDataFrame([(1, text), (2, "zz " + text), (2, "aa"), (3, "aa bb cc dd")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["group_id"], r["links"]) for r in neardup.near_duplicates(d).collect()} == {1: (1, 1), 2: (1, 1)}
+
+
 def test_pairs_close_to_the_threshold_share_a_band():
     rows = revisions(300, 4, 17)
     weights, sets = weights_of([r["text"] for r in rows])
