@@ -64,13 +64,15 @@ def check_sources(components: list[Component], known: set[str]) -> None:
                 raise NotationError(f"component {i}: no source {s}")
 
 
-def retrieve(components: list[Component], term: str, run: Callable[[dict], dict], mode: str = "vector", exclude: bool = False) -> list[dict]:
+def retrieve(components: list[Component], term: str, run: Callable[[dict], dict], mode: str = "vector", exclude: bool = False, before: Callable[[dict], dict | None] | None = None) -> list[dict]:
     """The hits of each component's search, one after the other, repeats kept. With
-    ``exclude`` the hits of components marked ! are taken out of those of the others."""
+    ``exclude`` the hits of components marked ! are taken out of those of the others. before: a
+    hook that gets each request and may return another; None leaves it as it is."""
     out: list[dict] = []
     gone: set[str] = set()
     for c in components:
-        hits = run({"term": term, "mode": mode, "similarity": c.threshold, "limit": c.most, "indexes": list(c.sources)})["hits"]
+        request = {"term": term, "mode": mode, "similarity": c.threshold, "limit": c.most, "indexes": list(c.sources)}
+        hits = run((before(request) or request) if before else request)["hits"]
         if exclude and c.exclude:
             gone |= {h["id"] for h in hits}
         else:

@@ -86,12 +86,12 @@ def group_keys(index: Index, properties: list[str], ids: list[str]) -> DataFrame
     return docs.select("id", "ord", F.array(*[_key_text(f, f"k{i}") for i, f in enumerate(fields)]).alias("values"))
 
 
-def groups(parts: list[tuple[Index, DataFrame]], properties: list[str], most: int = 1, sort: tuple[str, str] | None = None, limit: int = 10_000) -> DataFrame:
+def groups(parts: list[tuple[Index, DataFrame]], properties: list[str], most: int = 1, sort: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
     """``values, n, result``: every combination of the properties' known values, the empty
     ones too, the number of scored documents in it and its ``most`` best as
     (index_id, id, ord, score), by score or ``sort``.
 
-    ``limit``: combinations beyond which the request is refused.
+    ``limit``: combinations beyond which the request is refused; there is none unless given.
     """
     keys = [f"k{i}" for i in range(len(properties))]
     rows, spaces = [], []
@@ -120,8 +120,7 @@ def groups(parts: list[tuple[Index, DataFrame]], properties: list[str], most: in
         member = docs.join(scored, "ord").select("ord", "id", "score", *(["sort_key"] if extra else [F.lit(None).cast("double").alias("sort_key")]), *[x.alias(k) for k, x in zip(keys, text)])
         rows.append(member.withColumn("index_id", F.lit(index.name)))
     space = reduce(DataFrame.unionByName, spaces).distinct()
-    n = space.count()
-    if n > limit:
+    if limit is not None and (n := space.count()) > limit:
         raise InvalidGroupField(f"{n} groups are over the limit of {limit}")
     by = [F.round("score", 6).desc(), F.asc("ord"), F.asc("index_id")]
     members = reduce(DataFrame.unionByName, rows)

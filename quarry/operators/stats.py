@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import millis
-from ..sources.index import Index
+from ..sources.index import Field, Index
 
 COLUMNS = "field string, kind string, n long, n_true long, n_false long, keys long, low double, high double, average_length double"
 
@@ -22,8 +21,12 @@ def field_stats(index: Index) -> DataFrame:
     def row(df: DataFrame, path: str, kind: str, n=None, true=None, false=None, keys=None, low=None, high=None, average=None) -> DataFrame:
         return df.agg((F.count("*") if n is None else n).cast("long").alias("n"), *[(null(t) if c is None else c.cast(t)).alias(k) for k, t, c in (("n_true", "long", true), ("n_false", "long", false), ("keys", "long", keys), ("low", "double", low), ("high", "double", high), ("average_length", "double", average))]).select(F.lit(path).alias("field"), F.lit(kind).alias("kind"), "n", "n_true", "n_false", "keys", "low", "high", "average_length")
 
-    out = []
+    # Plain fields without distinct values are columns of one aggregate over the documents.
+    plain = [f for f in index.filters.values() if not f.array and f.kind != "string"]
+    out = [_plain(index, plain)] if plain else []
     for f in index.filters.values():
+        if f in plain:
+            continue
         docs = index.docs.select("ord", f.column.alias("v")).where("v is not null")
         n = F.count("*")
         if f.array:
@@ -33,12 +36,8 @@ def field_stats(index: Index) -> DataFrame:
             out.append(row(docs, f.path, f.kind, n, F.count_if("v"), F.count_if(~F.col("v"))))
         elif f.kind == "number":
             out.append(row(docs, f.path, f.kind, n, low=F.min("v"), high=F.max("v")))
-        elif f.kind == "date":
-            out.append(row(docs.withColumn("v", millis(F.col("v"))), f.path, f.kind, n))
-        elif f.kind == "string":
-            out.append(row(docs, f.path, f.kind, n, keys=F.count_distinct("v")))
         else:
-            out.append(row(docs, f.path, f.kind, n))
+            out.append(row(docs, f.path, f.kind, n, keys=F.count_distinct("v")))
     for path in index.texts:
         terms = index.postings.where((F.col("field") == path) & ~F.col("stemmed")).agg(F.count_distinct("term").alias("terms"))
         size = index.lengths.where(F.col("field") == path).crossJoin(terms)
@@ -48,6 +47,17 @@ def field_stats(index: Index) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _plain(index: Index, fields: list[Field]) -> DataFrame:
+    def stats(f: Field) -> Column:
+        c, none = f.column, F.lit(None)
+        true, false = (F.count_if(c), F.count_if(~c)) if f.kind == "bool" else (none, none)
+        low, high = (F.min(c), F.max(c)) if f.kind == "number" else (none, none)
+        values = {"field": F.lit(f.path), "kind": F.lit(f.kind), "n": F.count(c), "n_true": true.cast("long"), "n_false": false.cast("long"), "keys": none.cast("long"), "low": low.cast("double"), "high": high.cast("double"), "average_length": none.cast("double")}
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    return index.docs.agg(F.array(*[stats(f) for f in fields]).alias("r")).select(F.inline("r"))
+
+
 def filterable_fields(index: Index) -> DataFrame:
     """:func:`field_stats` of the fields that filters can use."""
     return field_stats(index).where("kind in ('bool', 'number', 'date', 'string', 'geo')")

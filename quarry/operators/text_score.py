@@ -14,6 +14,10 @@ from ..sources.index import Index
 K, B = 1.2, 0.75
 #: Weight of a term that is the token itself over one that it only begins, or resembles.
 EXACT_BOOST = 1.5
+#: A token's share in a document below which it counts as absent.
+LEAST = 1.2e-38
+#: Tokens of a query up to which each has a column.
+WIDE = 32
 
 
 def query_tokens(term: str, exact: bool, language: str = ENGLISH) -> list[str]:
@@ -79,15 +83,32 @@ def text_scores(index: Index, request: Request, allowed: DataFrame | None = None
         boost = float(request.boost.get(f, 1.0))
         weight = F.when(F.col("field") == f, boost * F.col("tf") / (1 - B + B * F.col("len") / average)).otherwise(weight)
     itself = lambda t: (F.col("term") == t) & ~F.col("stemmed")
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("token"), F.lit(1.0).alias("x") if request.exact else F.when(itself(t), EXACT_BOOST).otherwise(1.0).alias("x"))) for i, (t, c) in enumerate(zip(tokens, conditions))]))
+    boosts = [F.lit(1.0) if request.exact else F.when(itself(t), EXACT_BOOST).otherwise(1.0) for t in tokens]
+    needed = max(1, int(len(tokens) * (request.threshold or 0.0)))
+    if len(tokens) <= WIDE:
+        return _wide(hits, [F.when(c, weight * x) for c, x in zip(conditions, boosts)], index.count, needed)
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("token"), x.alias("x"))) for i, (c, x) in enumerate(zip(conditions, boosts))]))
     per_hit = hits.select("ord", weight.alias("ntf"), F.explode(found).alias("m")).select("ord", F.col("m.token").alias("token"), (F.col("ntf") * F.col("m.x")).alias("ntf"))
-    s = per_hit.groupBy("ord", "token").agg(F.sum("ntf").alias("s")).where("s > 1.2e-38")
+    s = per_hit.groupBy("ord", "token").agg(F.sum("ntf").alias("s")).where(F.col("s") > LEAST)
     df = s.groupBy("token").agg(F.count("*").alias("df"))  # a row a token of the query
-    idf = F.log1p((index.count - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = s.join(F.broadcast(df), "token").groupBy("ord").agg(F.sum(idf * (K + 1) * F.col("s") / (K + F.col("s"))).alias("score"), F.bit_or(F.expr("shiftleft(1L, token)")).alias("mask") if len(tokens) < 64 else F.count_distinct("token").alias("n"))
-    needed = int(len(tokens) * (request.threshold or 0.0))
-    got = F.bit_count("mask") if len(tokens) < 64 else F.col("n")
-    return scored.where(got >= needed).select("ord", "score") if needed > 1 else scored.select("ord", "score")
+    scored = s.join(F.broadcast(df), "token").groupBy("ord").agg(F.sum(_bm25(F.col("s"), F.col("df"), index.count)).alias("score"), F.count("*").alias("n"))
+    return scored.where(F.col("n") >= needed).select("ord", "score")
+
+
+def _bm25(s: Column, df: Column, documents: int) -> Column:
+    return F.log1p((documents - df + 0.5) / (df + 0.5)) * (K + 1) * s / (K + s)
+
+
+def _wide(hits: DataFrame, shares: list[Column], documents: int, needed: int) -> DataFrame:
+    """Scores of few tokens, a column a token: the hits of a document meet once, and how many
+    documents have each token is a subquery over the same exchange."""
+    names = [f"s{i}" for i in range(len(shares))]
+    sums = hits.groupBy("ord").agg(*[F.sum(x).alias(n) for n, x in zip(names, shares)])
+    has = [F.col(n) > LEAST for n in names]
+    df = sums.agg(*[F.count_if(h).alias(n) for n, h in zip(names, has)]).select(F.struct(*names)).scalar()
+    score = reduce(lambda a, b: a + b, [F.when(h, _bm25(F.col(n), df[n], documents)).otherwise(0.0) for n, h in zip(names, has)])
+    got = reduce(lambda a, b: a + b, [F.when(h, 1).otherwise(0) for h in has])
+    return sums.where(got >= needed).select("ord", score.alias("score"))
 
 
 def field_bm25(index: Index, term: str, fields: list[str] | None = None) -> DataFrame:

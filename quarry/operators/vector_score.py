@@ -26,6 +26,7 @@ def fused(text: DataFrame, vector: DataFrame) -> DataFrame:
     less), added up by document. Both are read once: the sums and the ends share an exchange."""
     both = text.select("ord", "score").unionByName(vector.select("ord", "score"))
     sums = both.groupBy("ord").agg(F.sum("score").alias("total"), F.count("*").alias("parts"), F.min("score").alias("least"), F.max("score").alias("most"))
-    ends = sums.agg(F.least(F.min("least"), F.lit(0.0)).alias("low"), F.greatest(F.max("most"), F.lit(0.0)).alias("high"))  # one row
-    scaled = (F.col("total") - F.col("parts") * F.coalesce("low", F.lit(0.0))) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    return sums.crossJoin(F.broadcast(ends)).select("ord", F.coalesce(scaled, F.lit(0.0)).alias("score"))
+    ends = sums.agg(F.least(F.min("least"), F.lit(0.0)).alias("low"), F.greatest(F.max("most"), F.lit(0.0)).alias("high"))
+    end = ends.select(F.struct("low", "high")).scalar()
+    scaled = (F.col("total") - F.col("parts") * end["low"]) / F.nullif(end["high"] - end["low"], F.lit(0.0))
+    return sums.select("ord", F.coalesce(scaled, F.lit(0.0)).alias("score"))

@@ -63,6 +63,7 @@ def test_notation():
     run = lambda r: {"hits": [{"id": f"{r['indexes'][0]}{k}"} for k in range(r["limit"])]}
     assert [h["id"] for h in n.retrieve(n.parse("a@0.5:2;!a@0.5:1"), "t", run)] == ["a0", "a1", "a0"]
     assert [h["id"] for h in n.retrieve(n.parse("a@0.5:2;!a@0.5:1"), "t", run, exclude=True)] == ["a1"]
+    assert [h["id"] for h in n.retrieve(n.parse("a@0.5:2"), "t", run, before=lambda r: {**r, "limit": 1})] == ["a0"]
     assert [n.strategy(x) for x in ('["001"]', '["000"]', "[]", "it is 100", "")] == ["advanced_autoquery", "simple_rag", "simple_rag", "advanced_autoquery", "simple_rag"]
 
 

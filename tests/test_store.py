@@ -202,6 +202,37 @@ def test_stream_is_exactly_once(spark, tmp_path):
     assert [r["id"] for r in visible(state.read(), delta, "id", "at", "gone").collect()] == ["b"]
 
 
+def test_transcripts(spark, store, tmp_path):
+    from quarry.sources.transcripts import transcripts
+
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('[{"id": "1", "a": {"b": {"c": "deep"}}, "n": null}, 5]')
+    (tmp_path / "j" / "b.json").write_text('{"id": "2", "at": {"lat": 1, "lon": 2}}')
+    (tmp_path / "j" / "c.json").write_text("{broken")
+    rows = transcripts(spark, str(tmp_path / "j")).collect()
+    assert sorted((r["body"], r["fits"]) for r in rows) == [('5', False), ('{"id": "1", "a.b.c": "deep"}', True), ('{"id": "2", "at": {"lat": 1, "lon": 2}}', True), ("{broken", False)]
+    assert store.insert("i", transcripts(spark, str(tmp_path / "j")).select("body"))["failed"] == 2
+    assert store.search({"term": "deep"})["count"] == 1
+
+
+def test_streams_start_again():
+    from quarry.streaming.oplog import consume_again
+
+    class Query:
+        def __init__(self, bad):
+            self.bad = bad
+
+        def awaitTermination(self):
+            if self.bad:
+                raise OSError("gone")
+
+    started, waits = [], []
+    consume_again(lambda: started.append(1) or Query(len(started) < 3), sleep=waits.append)
+    assert len(started) == 3 and waits == [1.0, 2.0]
+    with pytest.raises(OSError):
+        consume_again(lambda: Query(True), attempts=2, sleep=waits.append)
+
+
 def test_event_log(spark, tmp_path):
     log = EventLog(str(tmp_path / "e"))
     assert log.read(spark).count() == 0
