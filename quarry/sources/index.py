@@ -264,25 +264,30 @@ def typed(docs: DataFrame, schema: dict[str, str], body: str = "body") -> DataFr
     whole numbers among numbers, a d0, ... for the moments of dates, and ``_omc``. A value of
     another type than its path has counts as missing."""
     columns = {}
+
+    def got(path: str, kind: str, inner: str = ""):
+        # nested objects, else one key with dots, as flat documents have it
+        places = [json_path(path), *(["$['" + path.replace("'", "\\'") + "']"] if "." in path else [])]
+        return F.coalesce(*[F.try_variant_get("v", p + inner, kind) for p in places])
+
     for i, (path, kind) in enumerate(schema.items()):
         if path in RESERVED:
             continue
-        where = json_path(path)
         array = kind.endswith("[]")
         kind = kind.removesuffix("[]")
         if kind == "geo":
-            lat, lon = (F.try_variant_get("v", where + f"['{k}']", "double") for k in ("lat", "lon"))
+            lat, lon = (got(path, "double", f"['{k}']") for k in ("lat", "lon"))
             columns[f"f{i}"] = F.when(lat.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
             continue
         t, names = _JSON_TYPES[kind]
-        shape = F.schema_of_variant(F.try_variant_get("v", where, "variant"))
+        shape = F.schema_of_variant(got(path, "variant"))
         if array:
-            columns[f"f{i}"] = F.when(shape.rlike(f"^ARRAY<({names})"), F.try_variant_get("v", where, f"array<{t}>"))
+            columns[f"f{i}"] = F.when(shape.rlike(f"^ARRAY<({names})"), got(path, f"array<{t}>"))
             continue
-        value = F.when(shape.rlike(f"^({names})"), F.try_variant_get("v", where, t))
+        value = F.when(shape.rlike(f"^({names})"), got(path, t))
         columns[f"f{i}"] = value
         if kind == "number":
-            columns[f"w{i}"] = F.when(shape == "BIGINT", F.try_variant_get("v", where, "bigint"))
+            columns[f"w{i}"] = F.when(shape == "BIGINT", got(path, "bigint"))
         elif kind == "date":
             columns[f"d{i}"] = dates.lenient(value)
     omc = F.try_variant_get("v", "$['_omc']", "double")
