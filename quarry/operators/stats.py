@@ -39,7 +39,7 @@ def field_stats(index: Index) -> DataFrame:
         else:
             out.append(row(docs, f.path, f.kind, n, keys=F.count_distinct("v")))
     for path in index.texts:
-        terms = index.postings.where((F.col("field") == path) & ~F.col("stemmed")).agg(F.count_distinct("term").alias("terms"))
+        terms = index.vocabulary().where(F.col("field") == path).agg(F.count("*").alias("terms"))
         size = index.lengths.where(F.col("field") == path).crossJoin(terms)
         out.append(row(size, path, "text", keys=F.first("terms"), average=F.avg("len")))
     for path, rows in index.vector_rows().items():
