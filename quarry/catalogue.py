@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import filesystem, shared_path
@@ -549,8 +549,12 @@ def shop(spark, sf_dir: str, kind: str = "read", build: Callable[[Collection], N
     return _BUILT[at]
 
 
+def _fields(**paths: str) -> list[Column]:
+    return [F.get_json_object("body", p).cast(k.split("__")[1] if "__" in k else "string").alias(k.split("__")[0]) for k, p in paths.items()]
+
+
 def _body(df: DataFrame, **paths: str) -> DataFrame:
-    return df.select(*[F.get_json_object("body", p).cast(k.split("__")[1] if "__" in k else "string").alias(k.split("__")[0]) for k, p in paths.items()])
+    return df.select(*_fields(**paths))
 
 
 @query("select p_partkey from part where p_brand <> 'Brand#7'")
@@ -569,10 +573,13 @@ def collection_changes(spark, sf_dir):
         c.insert("parts", _parts(p.where("p_partkey % 2 = 0").withColumn("p_name", F.lit("new"))))
         c.update("parts", p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("ord"), patch.alias("body")))
         c.delete("parts", p.where("p_partkey % 5 = 0").select(F.col("p_partkey").cast("string").alias("id")))
-        c.insert("parts", [{"id": str(1_000_000 + i), "name": "added"} for i in range(3)])
+        # Ids of their own: in larger tables there are parts of those numbers, which these mustn't replace.
+        added = F.struct(F.concat(F.lit("added-"), "p_partkey").alias("id"), (F.col("p_partkey") + 1_000_000).alias("key"), F.lit("added").alias("name"))
+        c.insert("parts", p.where("p_partkey < 3").select(F.col("p_partkey").alias("ord"), F.to_json(added).alias("body")))
 
-    c = shop(spark, sf_dir, "changed", build)
-    return _body(c.documents("parts"), p_partkey__bigint="$.id", name="$.name", brand="$.brand", size__int="$.is.size").fillna(-1, "size")
+    docs = shop(spark, sf_dir, "changed", build).documents("parts")
+    key = F.coalesce(F.get_json_object("body", "$.key"), F.get_json_object("body", "$.id")).cast("bigint")
+    return docs.select(key.alias("p_partkey"), *_fields(name="$.name", brand="$.brand", size__int="$.is.size")).fillna(-1, "size")
 
 
 @query("select p_partkey, p_name from part where p_partkey in (3, 5, 7, 11, 13)")

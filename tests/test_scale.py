@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 
 from quarry import catalogue
@@ -52,3 +53,14 @@ def test_words_chosen_as_they_are_read_are_those_of_written_postings(spark, tmp_
     rows = lambda i, r: sorted((x["ord"], round(x["score"], 9)) for x in text_scores(i, r).collect())
     for request in [Request("study box", tolerance=0), Request("studi stop"), Request("studi", tolerance=1)]:
         assert rows(index, request) == rows(written, request) != []
+
+
+def test_added_documents_replace_no_part_of_their_number(spark, sf, tmp_path):
+    """Tables of over a million parts have the numbers that are added."""
+    part = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey < 30")
+    part.unionByName(part.withColumn("p_partkey", part.p_partkey + 1_000_000)).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    ours = catalogue.collection_changes(spark, str(tmp_path)).select("p_partkey", "name", "brand", "size").collect()
+    want = con.execute(f"select p_partkey, name, brand, size from ({catalogue.ORACLES['collection_changes']})").fetchall()
+    assert sorted(map(str, map(tuple, ours))) == sorted(map(str, want))
