@@ -64,3 +64,8 @@ def test_added_documents_replace_no_part_of_their_number(spark, sf, tmp_path):
     ours = catalogue.collection_changes(spark, str(tmp_path)).select("p_partkey", "name", "brand", "size").collect()
     want = con.execute(f"select p_partkey, name, brand, size from ({catalogue.ORACLES['collection_changes']})").fetchall()
     assert sorted(map(str, map(tuple, ours))) == sorted(map(str, want))
+
+
+def test_a_search_for_all_vectors_has_no_limit_and_no_order(spark, sf):
+    plan = catalogue.collection_vectors(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort" not in plan
