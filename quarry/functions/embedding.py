@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ PREFIXES = {"e5": ("query: ", "passage: "), "bge": ("Represent this sentence for
 #: Similarities of these families are spread (vectors.rescaled).
 RESCALED = {"e5"}
 MAX_BYTES = 10 << 20
+#: Numbers of vectors after which a worker hands them on.
+BATCH_FLOATS = 1 << 20
 
 Encoder = Callable[[list[str]], list[list[float]]]
 
@@ -37,15 +39,21 @@ def embed(df: DataFrame, key: str, text: Column, make_encoder: Callable[[], Enco
     2 %. ``make_encoder`` runs once a partition, so a model is loaded there and not sent.
     Texts without words have no vectors."""
     prefix = PREFIXES[family][1]
-    parts = df.select(F.col(key).alias("key"), F.posexplode(chunks(text, max_tokens)).alias("chunk", "text")).where("text <> ''")
+    # Outer, as Spark would otherwise ask first whether there are windows and so make them anew.
+    parts = df.select(F.col(key).alias("key"), F.posexplode_outer(chunks(text, max_tokens)).alias("chunk", "text")).where("text <> ''")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
-        for pdf in batches:
-            for i in range(0, len(pdf), batch):
-                some = pdf.iloc[i : i + batch]
-                yield pd.DataFrame({"key": some["key"], "chunk": some["chunk"], "embedding": encoder([prefix + t for t in some["text"]])})
+        for rows in batches:
+            texts, done, start = rows.column("text").to_pylist(), [], 0
+            for i in range(0, len(texts), batch):
+                done.append(pa.array(list(encoder([prefix + t for t in texts[i : i + batch]])), pa.list_(pa.float32())))
+                end = min(i + batch, len(texts))
+                if end == len(texts) or sum(len(x.values) for x in done) >= BATCH_FLOATS:
+                    some = rows.slice(start, end - start)
+                    yield pa.RecordBatch.from_arrays([some.column("key"), some.column("chunk"), pa.concat_arrays(done)], ["key", "chunk", "embedding"])
+                    done, start = [], end
 
     ship(df.sparkSession)
     kind = dict(df.dtypes)[key]
-    return parts.mapInPandas(run, f"key {kind}, chunk int, embedding array<float>").withColumnRenamed("key", key)
+    return parts.mapInArrow(run, f"key {kind}, chunk int, embedding array<float>").withColumnRenamed("key", key)

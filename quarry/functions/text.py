@@ -38,6 +38,12 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SPLIT), "")
 
 
+def begins(words: Column) -> Column:
+    """Where in a sorted array, which isn't null, each different word begins."""
+    places = F.sequence(F.lit(0), F.size(words) - 1)
+    return F.when(F.size(words) > 0, F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))).otherwise(F.array().cast("array<int>"))
+
+
 def has_tokens(text: Column) -> Column:
     """Whether there are :func:`tokens`, without making them."""
     return F.lower(text).rlike(r"[\p{L}\p{N}]")
@@ -101,9 +107,13 @@ def explicit_enum(value: Column) -> Column:
 def chunks(text: Column, size: int, overlap: float = 0.02) -> Column:
     """Windows of ``size`` tokens, each sharing ``overlap`` of them with the one before."""
     step = max(1, size - round(size * overlap))
-    words = tokens(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(words) - size) / step), F.lit(0)).cast("int"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
+
+    def windows(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(words) - size) / step), F.lit(0)).cast("int"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
+
+    # Tokens are an array's only item so that they are made once, not for each window.
+    return F.flatten(F.transform(F.array(tokens(text)), windows))
 
 
 def humanize(key: str) -> str:

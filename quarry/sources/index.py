@@ -12,15 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..cluster import ship
+from ..cluster import filesystem, ship
 from ..functions import dates
 from ..functions.documents import json_path, leaves
-from ..functions.text import ENGLISH, explicit_enum, has_tokens, length_gate, stem_expr, tokens
+from ..functions.text import ENGLISH, begins, explicit_enum, has_tokens, length_gate, stem_expr, tokens
 
 #: Fields that are never searched.
 RESERVED = ("id", "_omc")
 POSTINGS = "field string, ord long, term string, tf long, len int, stemmed boolean"
 LENGTHS = "field string, ord long, len int"
+#: Shapes of documents that a worker remembers; when there are more, it begins anew and parses some again.
+MAX_SHAPES = 10_000
 
 
 @dataclass(frozen=True)
@@ -102,9 +104,11 @@ class Index:
 
     def _tokens(self, path: str) -> DataFrame:
         """field, ord, w, len: the tokens of each text of a field."""
+        return self.docs.select(F.lit(path).alias("field"), "ord", self._split(path).alias("w")).withColumn("len", F.size("w"))
+
+    def _split(self, path: str) -> Column:
         f = self.texts[path]
-        words = F.flatten(F.transform(f.column, tokens)) if f.array else tokens(f.column)
-        return self.docs.select(F.lit(path).alias("field"), "ord", words.alias("w")).withColumn("len", F.size("w"))
+        return F.flatten(F.transform(F.array_compact(f.column), tokens)) if f.array else tokens(f.column)
 
     def _words(self, fields: list[str]) -> DataFrame:
         """field, ord, len, word: a row an occurrence. Outer, as Spark would otherwise ask first
@@ -137,7 +141,7 @@ class Index:
         out = None
         for f in self.texts.values():
             if f.array:
-                n, some = F.size(F.flatten(F.transform(f.column, tokens))), F.exists(f.column, has_tokens)
+                n, some = F.size(F.flatten(F.transform(F.array_compact(f.column), tokens))), F.exists(f.column, has_tokens)
             else:
                 n, some = F.size(tokens(f.column)), has_tokens(f.column)
             t = self.docs.where(some).select(F.lit(f.path).alias("field"), "ord", n.alias("len"))
@@ -170,8 +174,36 @@ class Index:
         return {**{f.path: self.docs.select("ord", f.column.alias("embedding")) for f in self.vectors.values()}, **self.vector_tables}
 
     def write_postings(self, path: str) -> None:
-        self.postings.repartitionByRange(F.col("term")).sortWithinPartitions("term", "field", "ord").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        """Where each document is one row, its terms are counted as it is read, once, and written
+        as they come; lengths and sorted postings are made of that. Only else must rows meet."""
+        if self.postings_table is not None or not self.texts or not self.unique:
+            by_term(self.postings).write.mode("overwrite").parquet(f"{path}/postings")
+            self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+            return
+        self._terms().write.mode("overwrite").parquet(f"{path}/terms")
+        terms = self.docs.sparkSession.read.schema(f"{POSTINGS}, opens boolean").parquet(f"{path}/terms")
+        by_term(terms.drop("opens")).write.mode("overwrite").parquet(f"{path}/postings")
+        terms.where("opens").select("field", "ord", "len").write.mode("overwrite").parquet(f"{path}/lengths")
+        fs, at = filesystem(f"{path}/terms")
+        fs.delete_dir(at)
+
+    def _terms(self) -> DataFrame:
+        """The :attr:`postings` of documents that are one row each, and with ``opens`` a row for each
+        text that has a token."""
+        words = [F.struct(F.lit(p).alias("field"), self._split(p).alias("w")) for p in self.texts]
+        rows = self.docs.select("ord", F.explode_outer(F.array(*words)).alias("t")).select("ord", "t.field", "t.w").where(F.size("w") > 0)
+        stems = F.array_compact(F.zip_with("w", F.transform("w", lambda t: stem_expr(t, self.language)), lambda t, s: F.when(t != s, s)))
+        rows = rows.select("field", "ord", F.size("w").alias("len"), F.sort_array("w").alias("w"), F.sort_array(stems).alias("s"))
+        rows = rows.withColumns({"w_at": begins(F.col("w")), "s_at": begins(F.col("s"))})
+        # A run of equal words, then of equal stems, a row; it ends where the next one begins.
+        rows = rows.select("*", F.posexplode_outer(F.concat("w_at", "s_at")).alias("k", "at"))
+        n = F.size("w_at")
+
+        def of(words: Column, stems: Column) -> Column:
+            return F.when(F.col("k") < n, words).otherwise(stems)
+
+        end = of(F.coalesce(F.get("w_at", F.col("k") + 1), F.size("w")), F.coalesce(F.get("s_at", F.col("k") - n + 1), F.size("s")))
+        return rows.select("field", "ord", of(F.get("w", "at"), F.get("s", "at")).alias("term"), (end - F.col("at")).cast("long").alias("tf"), "len", (F.col("k") >= n).alias("stemmed"), (F.col("k") == 0).alias("opens"))
 
     def write(self, path: str) -> Index:
         """The same index on written tables."""
@@ -180,6 +212,12 @@ class Index:
         return replace(self, postings_table=spark.read.schema(POSTINGS).parquet(f"{path}/postings"), lengths_table=spark.read.schema(LENGTHS).parquet(f"{path}/lengths"))
 
 
+def by_term(postings: DataFrame) -> DataFrame:
+    """Postings in the order that searches read, split by all of it: a term of most documents is
+    no one task's."""
+    return postings.repartitionByRange("term", "field", "ord").sortWithinPartitions("term", "field", "ord")
+
+
 def _walk(schema: T.StructType, prefix: str = "") -> Iterator[tuple[str, T.DataType]]:
     for f in schema.fields:
         if isinstance(f.dataType, T.StructType) and {x.lower() for x in f.dataType.names} != {"lat", "lon"}:
@@ -258,20 +296,33 @@ def infer_kind(value) -> str | None:
 
 def infer_schema(docs: DataFrame) -> dict[str, str]:
     """Path to kind of JSON documents (``ord``, ``body``); the first document that has a path
-    decides. Each partition finds its own firsts; the least of them is taken."""
+    decides. Each partition finds its own firsts; the least of them is taken. Of documents of one
+    shape the first decides for all, so later ones aren't parsed in Python, but for shapes that
+    don't tell what an array begins with."""
     ship(docs.sparkSession)
+    shape = F.col("shape")
+    # Only keys in backticks could look like a decimal, of which there would be a shape for each precision.
+    alike = F.when(shape.contains("`"), shape).otherwise(F.regexp_replace(shape, r"DECIMAL\(\d+, ?\d+\)", "DOUBLE"))
+    shaped = docs.select("ord", "body", F.schema_of_variant(F.try_parse_json("body")).alias("shape")).select("ord", "body", F.when(~shape.contains("VARIANT"), alike).alias("shape"))
 
     def run(batches):
         first: dict[str, tuple[int, str]] = {}
+        least: dict[str, int] = {}
         for pdf in batches:
-            for at, body in zip(pdf["ord"], pdf["body"]):
+            for at, shape, body in zip(pdf["ord"], pdf["shape"], pdf["body"]):
+                if isinstance(shape, str):
+                    if shape in least and least[shape] <= at:
+                        continue
+                    if len(least) >= MAX_SHAPES:
+                        least.clear()
+                    least[shape] = at
                 for path, value in leaves(json.loads(body)):
                     kind = infer_kind(value)
                     if kind and (path not in first or at < first[path][0]):
                         first[path] = (at, kind)
         yield pd.DataFrame([(p, int(o), k) for p, (o, k) in first.items()], columns=["path", "ord", "kind"])
 
-    found = docs.select("ord", "body").mapInPandas(run, "path string, ord long, kind string")
+    found = shaped.mapInPandas(run, "path string, ord long, kind string")
     return {r[0]: r[1] for r in found.groupBy("path").agg(F.min_by("kind", "ord")).collect()}  # a row a path
 
 

@@ -4,13 +4,17 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quarry import catalogue
-from quarry.functions.text import ENGLISH, LIGHT, STEM_CUT, STEM_TAIL, stem
+from quarry.functions.embedding import embed
+from quarry.functions.text import ENGLISH, LIGHT, STEM_CUT, STEM_TAIL, chunks, stem
 from quarry.operators.stats import field_stats
 from quarry.operators.text_score import text_scores
 from quarry.plans.params import Request
-from quarry.sources.index import from_table
+from quarry.sources import store
+from quarry.sources.index import from_table, infer_schema
+from quarry.sources.store import Collection
 
 WORDS = "studies study studying stopped stop boxes churches dishes passes houses häuser kindern chevaux beautés luces chicos chiodi laghi ações pães heden mogelijkheden flickorna äpplet ring rings bus 3d ẞ"
 
@@ -69,3 +73,68 @@ def test_added_documents_replace_no_part_of_their_number(spark, sf, tmp_path):
 def test_a_search_for_all_vectors_has_no_limit_and_no_order(spark, sf):
     plan = catalogue.collection_vectors(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan and "Sort" not in plan
+
+
+def test_a_word_of_all_documents_is_no_one_tasks(spark, tmp_path):
+    index = from_table("i", spark.range(400).selectExpr("id k", "'same' t"), "k")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index.write(str(tmp_path / "w"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(list((tmp_path / "w" / "postings").glob("*.parquet"))) > 1 and not (tmp_path / "w" / "terms").exists()
+    assert spark.read.parquet(str(tmp_path / "w" / "postings")).count() == 400
+
+
+def test_texts_are_split_once_for_all_windows(spark):
+    df = spark.createDataFrame([("a b c d e f g",), ("",), (None,)], "t string").repartition(1)
+    out = df.select("t", chunks(F.col("t"), 3, 0.34).alias("w"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {r["t"]: r["w"] for r in out.collect()} == {"a b c d e f g": ["a b c", "c d e", "e f g"], "": [""], None: [None]}
+
+
+@pytest.mark.parametrize("keys", [range(12), [k // 2 for k in range(12)]], ids=["one row each", "repeated"])
+def test_written_terms_are_those_of_grouped_words(spark, tmp_path, keys):
+    words = WORDS.split()
+    rows = [(k, " ".join(words[i:] + words[: i % 3] + words[i : i + 2]), [words[i], None, "Studies study rings"] if i % 4 else None) for i, k in enumerate(keys)]
+    df = spark.createDataFrame([*rows, (99, " - ", []), (100, None, [None])], "k long, t string, a array<string>")
+    for language in (ENGLISH, "french"):
+        index = from_table("i", df, "k", language=language)
+        written = index.write(str(tmp_path / language))
+        own = lambda t, by: sorted(map(tuple, t.select(*by).collect()))
+        by = ["field", "ord", "term", "tf", "len", "stemmed"][: 6 if len(set(keys)) == len(rows) else 4]
+        assert own(index.postings, by) == own(written.postings, by) != []
+        assert own(index.lengths, ["field", "ord", "len"]) == own(written.lengths, ["field", "ord", "len"])
+        assert ("a", 1 if len(set(keys)) == len(rows) else 0, 4) in own(written.lengths, ["field", "ord", "len"])
+
+
+def test_documents_of_one_shape_are_told_apart_where_it_does_not_decide(spark):
+    docs = ['{"a": [{"b": 1}, 2], "d": "2023-01-05", "n": 1.5}', '{"a": [3, "x"], "d": "no date", "n": 12.25}', '{"a": ["y", 3], "e": [null]}', '{"e": [null, true]}']
+    df = spark.createDataFrame(list(enumerate(docs)), "ord long, body string").repartition(2)
+    assert infer_schema(df) == {"a": "number[]", "d": "date", "n": "number", "e": "bool[]"}
+
+
+def test_an_insert_shuffles_a_body_once(spark, tmp_path, monkeypatch):
+    """And sorts it before it gets columns, so that sampling for the ranges makes none."""
+    plans = []
+    make = store.typed
+    monkeypatch.setattr(store, "typed", lambda docs, *a: plans.append((docs.columns, docs._jdf.queryExecution().optimizedPlan().toString())) or make(docs, *a))
+    c = Collection(spark, str(tmp_path), "c")
+    c.create_index("i")
+    assert c.insert("i", [{"id": "1", "t": "x"}, {"id": "2"}]) == {"inserted": 2, "replaced": 0, "failed": 0}
+    assert c.insert("i", [{"id": "1", "t": "y"}, {"id": "1", "t": "z"}]) == {"inserted": 0, "replaced": 1, "failed": 0}
+    (columns, first), (_, second) = plans
+    assert columns == ["ord", "id", "body"] and "Sort [ord" in first and "Aggregate" not in first and "Aggregate" in second
+    assert sorted((r["id"], r["body"]) for r in c.documents("i").collect()) == [("1", '{"id": "1", "t": "z"}'), ("2", '{"id": "2"}')]
+
+
+def test_an_encoder_gets_small_batches_and_its_vectors_go_on_together(spark):
+    import numpy as np
+
+    df = spark.range(0, 300, 1, 2).selectExpr("id k", "repeat('ab ', int(id % 3)) t")
+    sizes = lambda texts: [[float(len(t)), float(len(texts))] for t in texts]
+    for encoder in (sizes, lambda texts: np.array(sizes(texts))):
+        rows = embed(df, "k", F.col("t"), lambda encoder=encoder: encoder).collect()
+        assert sorted((r["k"], r["embedding"][0]) for r in rows) == [(k, float(3 * (k % 3) - 1)) for k in range(300) if k % 3]
+        assert max(r["embedding"][1] for r in rows) == 64
